@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
 from ..sources.tables import current_functions, latest, table
-from . import leakage, mixing, neardup, percentiles, terms
+from . import leakage, mixing, neardup, percentiles, subjects, terms
 
 GROUP = ["metric", "label", "func_id"]
 
@@ -95,7 +94,29 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder)[1]
 
 
+def _subjects(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return subjects.subject_areas(table(spark, folder, "documents"), table(spark, folder, "subject_area"), table(spark, folder, "subject_label"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The areas of each document."""
+    return _subjects(spark, folder)[0].select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of each area, and their share of all documents; documents of two areas count for both."""
+    total = table(spark, folder, "documents").agg(F.count("*").alias("n_all"))
+    areas = _subjects(spark, folder)[0].groupBy("subject").agg(F.count("*").alias("n_documents"), F.sum("statements").alias("n_statements"))
+    return areas.crossJoin(F.broadcast(total)).select("subject", "n_documents", "n_statements", (F.col("n_documents") / F.col("n_all")).alias("share"))
+
+
+def p9_functions(spark: SparkSession, folder: str) -> DataFrame:
+    """What the latent model learned about each labelling function."""
+    return _subjects(spark, folder)[1]
+
+
 QUERIES = {
     "p3_percentiles": p3_percentiles, "p3_counts": p3_counts, "p5_found": p5_found, "p5_classes": p5_classes, "p5_documents": p5_documents, "p6_found": p6_found, "p6_terms": p6_terms,
     "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_composition": p9_composition, "p9_functions": p9_functions,
 }
