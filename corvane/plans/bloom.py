@@ -1,10 +1,10 @@
-"""A blocked Bloom filter that is itself a small DataFrame.
+"""A Bloom filter that is itself a small DataFrame.
 
-Each key sets ``BITS`` bits in one block of eight 64-bit words.  The filter is a
-table of blocks, built by one partial aggregation and probed by a broadcast hash
-join on the block number, so building and probing stay in generated code.  Its
-size is bounded by ``MAX_BLOCKS`` whatever the number of keys; a fuller filter
-lets more keys pass, which costs time but no rows, as callers verify what passes.
+Each key picks one 64-bit word and sets four of its bits.  The filter is a table of
+words, built by one partial aggregation and probed by a broadcast hash join on the
+word's number, so that building and probing stay in generated code.  Its size is
+bounded by ``MAX_WORDS`` whatever the number of keys; a fuller filter lets more keys
+pass, which costs time but no rows, as callers verify what passes.
 """
 
 from __future__ import annotations
@@ -14,49 +14,40 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS, WORDS = 6, 8
-#: 2**18 blocks of 64 bytes: a broadcast of some 24 MB in Spark's row format.
-MAX_BLOCKS = 1 << 18
-#: Keys a block at about 1 % of false positives.
-KEYS_PER_BLOCK = 48
+#: 2**19 words: a broadcast of some 20 MB in Spark's row format.
+MAX_WORDS = 1 << 19
+#: Keys a word at about 3 % of false positives.
+KEYS_PER_WORD = 5
 
 
-def blocks_for(n_keys: int) -> int:
-    """A power of two between 64 and MAX_BLOCKS."""
-    want = max(64, min(MAX_BLOCKS, n_keys // KEYS_PER_BLOCK + 1))
+def words_for(n_keys: int) -> int:
+    """A power of two between 64 and MAX_WORDS."""
+    want = max(64, min(MAX_WORDS, n_keys // KEYS_PER_WORD + 1))
     return 1 << (want - 1).bit_length()
 
 
-def _masks(h2: Column) -> list[Column]:
-    """The bits a key sets in each of the eight words."""
-    words: list[list[Column]] = [[] for _ in range(WORDS)]
-    for i in range(BITS):
-        nine = F.shiftrightunsigned(h2, 9 * i).bitwiseAND(F.lit(511))
-        word, bit = F.shiftright(nine, 6), nine.bitwiseAND(F.lit(63)).cast("int")
-        for w in range(WORDS):
-            words[w].append(F.when(word == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint")))
-    return [reduce(lambda a, b: a.bitwiseOR(b), x) for x in words]
+def _mask(hashed: Column) -> Column:
+    """Four bits of a word, from 24 bits of the hash."""
+    one = F.lit(1).cast("bigint")
+    bits = [F.call_function("shiftleft", one, F.shiftrightunsigned(hashed, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(4)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
-def _hashes(keys: list[Column]) -> tuple[Column, Column]:
-    return F.xxhash64(*keys), F.xxhash64(*keys, F.lit(17))
+def _keyed(df: DataFrame, columns: list[str], words: int) -> DataFrame:
+    """``df`` with the number of the key's word and its mask: the hash's upper bits choose the word, the lower ones the bits."""
+    h = df.withColumn("_h", F.xxhash64(*columns))
+    return h.withColumn("_word", F.shiftrightunsigned("_h", 24).bitwiseAND(F.lit(words - 1))).withColumn("_mask", _mask(F.col("_h"))).drop("_h")
 
 
 def build(keys: DataFrame, columns: list[str], n_keys: int) -> tuple[DataFrame, int]:
-    """The filter's blocks and their number, for keys of which there are about ``n_keys``."""
-    blocks = blocks_for(n_keys)
-    h1, h2 = _hashes([F.col(c) for c in columns])
-    words = keys.select(F.pmod(h1, F.lit(blocks)).alias("_block"), h2.alias("_h")).select(
-        "_block", *[m.alias(f"_w{i}") for i, m in enumerate(_masks(F.col("_h")))]
-    )
-    return words.groupBy("_block").agg(*[F.bit_or(f"_w{i}").alias(f"_w{i}") for i in range(WORDS)]), blocks
+    """The filter's words and their number, for keys of which there are about ``n_keys``."""
+    words = words_for(n_keys)
+    return _keyed(keys.select(*columns), columns, words).groupBy("_word").agg(F.bit_or("_mask").alias("_set")), words
 
 
 def probe(df: DataFrame, columns: list[str], bloom: tuple[DataFrame, int], flag: str) -> DataFrame:
     """``df`` with a Boolean column: false means that the key is certainly absent."""
-    table, blocks = bloom
-    h1, h2 = _hashes([F.col(c) for c in columns])
-    hashed = df.withColumn("_block", F.pmod(h1, F.lit(blocks))).withColumn("_h", h2)
-    joined = hashed.join(F.broadcast(table), "_block", "left")
-    hit = reduce(lambda a, b: a & b, [F.col(f"_w{i}").bitwiseAND(m) == m for i, m in enumerate(_masks(F.col("_h")))])
-    return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_block", "_h", *[f"_w{i}" for i in range(WORDS)])
+    table, words = bloom
+    joined = _keyed(df, columns, words).join(F.broadcast(table), "_word", "left")
+    hit = F.col("_set").bitwiseAND(F.col("_mask")) == F.col("_mask")
+    return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_word", "_mask", "_set")
