@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import structure_queries
+from . import corpus_queries, graph_queries, io_queries, kernel_queries, probe_queries, structure_queries
+
+_MODULES = (structure_queries, corpus_queries, graph_queries, io_queries, kernel_queries, probe_queries)
 
 
 def queries() -> dict:
-    return {**structure_queries.QUERIES}
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _MODULES for k, v in getattr(m, "SQL", {}).items()}
