@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.spread import spread
+
 WINDOW, EDIT_SHARE = 15, 8
 ROUNDS, SAMPLED, STEPS = 24, 4, 24
 #: Items, and characters of them, that are sent to the tasks at once.
@@ -271,4 +273,4 @@ def _against(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
                 pairs += items.search([(i, t) for i, t in zip(ids[a : a + 2_000], texts[a : a + 2_000], strict=True) if i is not None and t])
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["doc_id", "item_id"])
 
-    return documents.mapInArrow(find, "doc_id bigint, item_id bigint").distinct()
+    return spread(documents, "doc_id").mapInArrow(find, "doc_id bigint, item_id bigint").distinct()

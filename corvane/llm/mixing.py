@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from ..plans.spread import spread
 from .ranges import range_sorted, running, with_offsets
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -36,12 +37,11 @@ def token_sizes(texts: DataFrame, keep: list[str], text: str, vocabulary: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(vocabulary).encode_ordinary
         for batch in batches:
-            # long texts are encoded line by line, which is what the pattern does at a line's start anyway
             sizes = [0 if t is None else len(encode(t)) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes, pa.int64())], [*keep, "tokens"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", tokens bigint"
-    return texts.select(*keep, text).mapInArrow(count, schema)
+    return spread(texts.select(*keep, text), keep[0]).mapInArrow(count, schema)
 
 
 def source_name(source: Column) -> Column:
