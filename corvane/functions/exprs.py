@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -33,25 +34,38 @@ def percentile_floor(values: Column, percent: int) -> Column:
     return F.get(s, F.least(F.floor(F.size(s) * percent / 100), F.size(s) - 1).cast("int"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it; chains stay small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def add64(a: Column, b: Column) -> Column:
     """Sum modulo 2**64, on 32-bit halves, so that it wraps where ANSI arithmetic would fail."""
     low_mask = F.lit(0xFFFFFFFF).cast("bigint")
-    low = a.bitwiseAND(low_mask) + b.bitwiseAND(low_mask)
-    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
-    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(low_mask))
+
+    def halves(s: Column) -> Column:
+        low = s["a"].bitwiseAND(low_mask) + s["b"].bitwiseAND(low_mask)
+        high = F.shiftrightunsigned(s["a"], 32) + F.shiftrightunsigned(s["b"], 32) + F.shiftrightunsigned(low, 32)
+        return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(low_mask))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), halves)
 
 
 def mul64(x: Column, constant: int) -> Column:
     """Product with a constant modulo 2**64, by sixteen-bit limbs of the constant."""
-    low, high = x.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")), F.shiftrightunsigned(x, 32)
-    parts = []
-    for i in range(4):
-        limb = constant >> (16 * i) & 0xFFFF
-        if limb:
-            parts.append(F.shiftleft(low * F.lit(limb).cast("bigint"), 16 * i))
-            if i < 2:
-                parts.append(F.shiftleft(high * F.lit(limb).cast("bigint"), 32 + 16 * i))
-    return reduce(add64, parts) if parts else F.lit(0).cast("bigint")
+
+    def limbs(v: Column) -> Column:
+        low, high = v.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")), F.shiftrightunsigned(v, 32)
+        parts = []
+        for i in range(4):
+            limb = constant >> (16 * i) & 0xFFFF
+            if limb:
+                parts.append(F.shiftleft(low * F.lit(limb).cast("bigint"), 16 * i))
+                if i < 2:
+                    parts.append(F.shiftleft(high * F.lit(limb).cast("bigint"), 32 + 16 * i))
+        return reduce(add64, parts) if parts else F.lit(0).cast("bigint")
+
+    return let(x, limbs)
 
 
 def low32(x: Column) -> Column:
@@ -60,4 +74,4 @@ def low32(x: Column) -> Column:
 
 def shifted_xor(x: Column, right: int = 0, left: int = 0) -> Column:
     """x ^ (x >> right), logical, or x ^ (x << left)."""
-    return x.bitwiseXOR(F.shiftrightunsigned(x, right) if right else F.shiftleft(x, left))
+    return let(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, right) if right else F.shiftleft(v, left)))

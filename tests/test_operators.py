@@ -23,10 +23,11 @@ def one(spark, *columns):
 
 
 def test_wrapping_arithmetic(spark):
-    for x in (0, 1, -1, 2**63 - 1, -(2**63), 12345678901234567):
-        for c in (1, 0x9E3779B97F4A7C15, 0xFFFFFFFFFFFFFFFF, 65599):
-            got = one(spark, exprs.mul64(F.lit(x).cast("bigint"), c), exprs.add64(F.lit(x).cast("bigint"), F.lit(c - 2**64 if c >= 2**63 else c).cast("bigint")))
-            assert [v % 2**64 for v in got] == [x * c % 2**64, (x + c) % 2**64]
+    xs, cs = (0, 1, -1, 2**63 - 1, -(2**63), 12345678901234567), (1, 0x9E3779B97F4A7C15, 0xFFFFFFFFFFFFFFFF, 65599)
+    df = spark.createDataFrame([(x,) for x in xs], "x bigint")
+    both = [f for c in cs for f in (exprs.mul64(F.col("x"), c), exprs.add64(F.col("x"), F.lit(c - 2**64 if c >= 2**63 else c).cast("bigint")))]
+    for x, got in zip(xs, df.select(*both).collect(), strict=True):
+        assert [v % 2**64 for v in got] == [v for c in cs for v in (x * c % 2**64, (x + c) % 2**64)]
 
 
 def test_reference_functions(spark):
