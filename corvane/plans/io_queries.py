@@ -305,8 +305,8 @@ def confident_results(s, d):
     return now.filter("confidence >= 0.65").select("cls_id", F.col("primary_algo").isNotNull().alias("matched"), "confidence")
 
 
-@query("WITH t AS (SELECT DISTINCT ON (timing_id) * FROM constraint_timing ORDER BY timing_id, eval_ms), o AS (SELECT label, timed_out, both_sat, eval_ms FROM t) SELECT label, count(*) AS n, round(avg(CAST(timed_out AS INT)), 6) AS timeout_rate, round(avg(CAST(both_sat AS INT)), 6) AS both_sat_rate FROM o GROUP BY label")
+@query("WITH t AS (SELECT DISTINCT ON (timing_id) * FROM constraint_timing ORDER BY timing_id, label NULLS FIRST, timed_out NULLS FIRST, both_sat NULLS FIRST), o AS (SELECT label, timed_out, both_sat, eval_ms FROM t) SELECT label, count(*) AS n, round(avg(CAST(timed_out AS INT)), 6) AS timeout_rate, round(avg(CAST(both_sat AS INT)), 6) AS both_sat_rate FROM o GROUP BY label")
 def audit_rates(s, d):
     """How often the solver ran out of time, or found both sides possible."""
-    t = table(s, d, "constraint_timing").groupBy("timing_id").agg(F.min_by(F.struct("label", "timed_out", "both_sat"), "eval_ms").alias("r")).select("r.*")
+    t = table(s, d, "constraint_timing").groupBy("timing_id").agg(F.min(F.struct("label", "timed_out", "both_sat")).alias("r")).select("r.*")
     return rounded(t.groupBy("label").agg(F.count("*").alias("n"), F.avg(F.col("timed_out").cast("double")).alias("timeout_rate"), F.avg(F.col("both_sat").cast("double")).alias("both_sat_rate")), "timeout_rate", "both_sat_rate")

@@ -164,7 +164,7 @@ def pointer_runs(s, d):
     return I.pointer_runs(e, ["k"], "i", "ok", least=2)
 
 
-@query("WITH o AS (SELECT DISTINCT event_type, event_id // 4 AS at FROM events WHERE value > 50), g AS (SELECT *, CASE WHEN at - lag(at) OVER (PARTITION BY event_type ORDER BY at) <= 8 THEN 0 ELSE 1 END AS b FROM o), r AS (SELECT *, sum(b) OVER (PARTITION BY event_type ORDER BY at) AS run FROM g) SELECT event_type, min(at) AS \"start\", max(at) AS \"end\", count(*) AS n FROM r GROUP BY event_type, run")
+@query("WITH o AS (SELECT DISTINCT event_type, event_id // 4 AS pos FROM events WHERE value > 50), g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY event_type ORDER BY pos) <= 8 THEN 0 ELSE 1 END AS b FROM o), r AS (SELECT *, sum(b) OVER (PARTITION BY event_type ORDER BY pos) AS run FROM g) SELECT event_type, min(pos) AS \"start\", max(pos) AS \"end\", count(*) AS n FROM r GROUP BY event_type, run")
 def change_runs(s, d):
     e = table(s, d, "events").filter("value > 50").select("event_type", F.expr("event_id div 4").alias("at"))
     return I.change_runs(e, ["event_type"], "at")
