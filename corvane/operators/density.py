@@ -116,4 +116,4 @@ def density_clusters(vectors: DataFrame, key: str, column: str, min_size: int =
         x = np.array([np.asarray(e, float) for e in pdf[column]])
         return pd.DataFrame({key: pdf[key].to_numpy(), "cluster": labels_of(x, min_size, min_samples), "method": "density"})
 
-    return v.groupBy(F.lit(1)).applyInPandas(solve, f"{key} {dict(v.dtypes)[key]}, cluster int, method string")
+    return v.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(solve, f"{key} {dict(v.dtypes)[key]}, cluster int, method string")
