@@ -36,19 +36,23 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.all_pairs(members, pairs).select(F.col("a").alias("fn_id_a"), F.col("b").alias("fn_id_b"))
 
 
-def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """Functions that may have a partner, with the class of equal bodies and its number of similar classes."""
-    members, pairs = neardup.near_duplicates(_bodies(spark, folder), "fn_id", "pseudocode", n=3, threshold=0.6, least=20)
+def _with_classes(texts: DataFrame, key: str, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every text with its class and the class's number of similar classes; a text without a partner is a class of its own."""
     ends = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    return members.join(ends, "rep", "left").select(F.col("key").alias("fn_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = members.join(ends, "rep", "left").select(F.col("key").alias(key), F.col("rep").alias("class_id"), "n_links")
+    return texts.select(key).join(linked, key, "left").select(key, F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each function that has a body, with the class of equal bodies and its number of similar classes."""
+    bodies = _bodies(spark, folder)
+    return _with_classes(bodies, "fn_id", *neardup.near_duplicates(bodies, "fn_id", "pseudocode", n=3, threshold=0.6, least=20))
 
 
 def p5_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that may have a near copy (five words, 0.8), with class and number of similar classes."""
+    """Each document with its class of equal texts and the number of classes that are near copies (five words, 0.8)."""
     texts = table(spark, folder, "documents").select("doc_id", F.lower("text").alias("text"))
-    members, pairs = neardup.near_duplicates(texts, "doc_id", "text", token=r"\w+")
-    ends = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    return members.join(ends, "rep", "left").select(F.col("key").alias("doc_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return _with_classes(texts, "doc_id", *neardup.near_duplicates(texts, "doc_id", "text", token=r"\w+"))
 
 
 def p6_terms(spark: SparkSession, folder: str) -> DataFrame:

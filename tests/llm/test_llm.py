@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from corvane.llm import leakage, mixing, neardup, percentiles, subjects, terms
+from corvane.llm import leakage, mixing, neardup, percentiles, queries, subjects, terms
 
 
 def test_percentiles_and_merge(spark):
@@ -185,3 +185,11 @@ def test_subjects_by_held_out_truth(spark):
         got[r["doc_id"]].add(r["subject"])
     assert sum(got[i] == truth[i] for i in truth) / len(truth) > 0.97
     assert subjects.subject_areas(docs.limit(0), areas, labels.limit(0))[0].count() == 0
+
+
+def test_every_text_has_a_class(spark):
+    body = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, body), (2, body), (3, body + " tail"), (4, " ".join(f"u{i}" for i in range(30))), (5, "too short"), (6, None)]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    got = {tuple(r) for r in queries._with_classes(df, "id", *neardup.near_duplicates(df, "id", "t")).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 4, 0), (5, 5, 0), (6, 6, 0)}
