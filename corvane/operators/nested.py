@@ -106,18 +106,19 @@ def _paths(value: object, path: str, into: Counter, trail: tuple[str, ...] = ())
             _paths(x, f"{path}.{k}", into, (*trail, k))
 
 
-def schema_graph(df: DataFrame, text: str) -> DataFrame:
+def schema_graph(df: DataFrame, text: str, fields: tuple[str, ...] = ()) -> DataFrame:
     """(path, kind, n) of every element in the JSON column: ``[]`` marks list entries, ``{}`` values under data keys.
 
     Text that can't be read counts at path ``$`` as kind ``unreadable``.  Counts are
-    merged per batch before they are shuffled.
+    merged per batch before they are shuffled.  With ``fields``, ``$`` is the record
+    that holds any of them, without what is wrapped around it.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
             for x in batch.column(0).to_pylist():
-                value = readable(x)
+                value = record_of(readable(x), fields) if fields else readable(x)
                 if value is None:
                     found[("$", "unreadable")] += 1
                 else:
@@ -145,16 +146,25 @@ def type_graph(kind: T.DataType, path: str = "$") -> list[tuple[str, str]]:
 def inlining(graph: list[tuple[str, str]]) -> dict[str, dict]:
     """Tables by path: ``parent`` (path of the parent table), ``columns`` (paths inlined) and ``why``.
 
-    Repeated and recursive elements get tables, and so does the record (``$``);
-    singleton descendants are columns of the nearest table above.  A lone object
-    or value in the place of a list belongs to the list's table.
+    Repeated, shared and recursive elements get tables, and so does the record (``$``);
+    other descendants are columns of the nearest table above.  A lone object or value
+    in the place of a list belongs to the list's table, so paths drop the ``[]`` before
+    a field.  A list of plain values in the place of an object is that object spelled
+    by position, and no table.  An object of the same name and fields under several
+    parents is shared; each parent's rows of it are a table of their own.
     """
     kinds: dict[str, set[str]] = {}
     for path, kind in graph:
-        kinds.setdefault(path, set()).add(kind)
-    repeated = {p for p, k in kinds.items() if k & {"list", "map"}}
+        kinds.setdefault(path.replace("[].", "."), set()).add(kind)
+    inner = {p: {q[len(p) + 1 :] for q in kinds if q.startswith(p + ".") and not re.search(r"[.\[{]", q[len(p) + 1 :])} for p in kinds}
+    by_position = {p for p, k in kinds.items() if "list" in k and inner[p] and kinds.get(p + "[]", {"object"}) <= {"text", "number", "flag", "null"}}
+    repeated = {p for p, k in kinds.items() if k & {"list", "map"}} - by_position
     recursive = {f"{p}.{k.partition(':')[2]}" for p, ks in kinds.items() for k in ks if k.startswith("recursive:")}
-    # the same element name with the same fields under several parents is shared, and is told apart by its parent's table
+    alike: dict[tuple, set[str]] = {}
+    for p, k in kinds.items():
+        if "object" in k and inner[p] and p not in repeated and "." in p and not p.endswith(("]", "}")):
+            alike.setdefault((p.rpartition(".")[2], frozenset(inner[p])), set()).add(p)
+    shared = {p for ps in alike.values() if len(ps) > 1 for p in ps} - recursive
     tables = {"$": {"parent": None, "columns": [], "why": "record"}}
 
     def above(path: str) -> str:
@@ -164,8 +174,8 @@ def inlining(graph: list[tuple[str, str]]) -> dict[str, dict]:
                 return path
         return "$"
 
-    for path in sorted(repeated | recursive, key=lambda p: (len(re.findall(r"\[\]|\{\}|\.", p)), p)):
-        tables[path] = {"parent": above(path), "columns": [], "why": "repeated" if path in repeated else "recursive"}
+    for path in sorted((repeated | recursive | shared) - {"$"}, key=lambda p: (len(re.findall(r"\[\]|\{\}|\.", p)), p)):
+        tables[path] = {"parent": above(path), "columns": [], "why": "repeated" if path in repeated else "recursive" if path in recursive else "shared"}
     for path, ks in sorted(kinds.items()):
         if ks & {"text", "number", "flag"}:
             home = path if path in tables else above(path)
@@ -173,6 +183,28 @@ def inlining(graph: list[tuple[str, str]]) -> dict[str, dict]:
     return tables
 
 
+def shred_plan(tables: dict[str, dict], known: dict[str, tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """The tables of ``inlining`` as ``shred`` takes them, parents first.
+
+    ``known`` gives paths their relation's name, and to elements keyed by data the
+    other spellings of the key and content: (rel,) or (rel, key names..., "/", content
+    names...).  Any other table is named by its parent's relation and its element.
+    """
+    rels, plan = {"$": "record"}, [("record", None, "", "record")]
+    for path, t in tables.items():
+        if path == "$":
+            continue
+        element = path[len(t["parent"]) :].lstrip(".")
+        element = "" if element in ("{}", "[]") else element
+        names = known.get(path, ())
+        if t["parent"] in known and element in known[t["parent"]][1:]:
+            continue  # another spelling of the content
+        own = re.sub(r"\W+", "_", element) or "entry"
+        rels[path] = names[0] if names else own if t["parent"] == "$" else f"{rels[t['parent']]}_{own}"
+        plan.append((rels[path], rels[t["parent"]], element, "recursive" if t["why"] == "recursive" else "keyed" if len(names) > 1 else "list", *names[1:]))
+    return plan
+
+
 def elements(value: object) -> list[tuple[int, object]]:
     """(position, element) of a repeated element in whatever shape it is held.
 
@@ -217,26 +249,50 @@ def keyed(value: object, names: tuple[str, ...], inside: tuple[str, ...] = ()) -
 
 
 def shred(df: DataFrame, key: str, text: str, fields: tuple[str, ...], tables: list[tuple[str, ...]]) -> DataFrame:
-    """Rows (rel, key, k1, k2, columns) of the tables of a JSON column.
+    """Rows (rel, key, k1, k2, columns, rest) of the tables of a JSON column.
 
     ``tables`` names them as (rel, parent rel or None, element, "list") or (rel,
-    parent rel, element, "keyed", key names..., "/", content names...).  ``key`` is a
-    bigint column, one readable record each.  ``k1`` and ``k2`` are the positions or
-    keys along the way, -1 where there is none; ``columns`` is the inlined rest of the
-    element as JSON, null for a bare value or an empty element.
+    parent rel, element, "keyed", key names..., "/", content names...); "recursive" is
+    a list whose elements hold the element again, and "record" the record itself.
+    ``key`` is a bigint column, one readable record each.  ``k1``, ``k2`` and the array
+    ``rest`` are the positions or keys along the way, -1 where there is none; a row's
+    parent has the same without the last.  ``columns`` is the inlined rest of the
+    element as JSON, null for an empty element.
     """
     plan = []
     for rel, parent, element, how, *names in tables:
         cutoff = names.index("/") if "/" in names else len(names)
         plan.append((rel, parent, element, how, tuple(names[:cutoff]), tuple(names[cutoff + 1 :])))
-    repeated = {p[2] for p in plan}
+    below: dict[str | None, list[list[str]]] = {}
+    for rel, parent, element, how, *_ in plan:
+        below.setdefault("record" if parent is None else parent, []).append(element.split("."))
+        if how == "recursive":  # within itself it is named by its last step
+            below.setdefault(rel, []).append(element.split(".")[-1:])
+
+    def without(x: dict, paths: list[list[str]]) -> dict:
+        kept = {}
+        for k, v in x.items():
+            if [k] in paths:
+                continue
+            deeper = [p[1:] for p in paths if p[0] == k and len(p) > 1]
+            v = _inner(v) if deeper else v
+            kept[k] = without(v, deeper) if deeper and isinstance(v, dict) else v
+        return kept
 
-    def flat(x: object) -> str | None:
+    def flat(rel: str, x: object) -> str | None:
         if isinstance(x, dict):
-            kept = {k: v for k, v in x.items() if k not in repeated}
+            if [""] in below.get(rel, []):  # its keyed entries are rows of their own
+                x = {k: v for k, v in x.items() if whole_number(k) is None}
+            kept = without(x, below.get(rel, []))
             return json.dumps(kept, sort_keys=True) if kept else None
         return None if x is None else json.dumps(x)
 
+    def held_in(x: object, element: str) -> object:
+        for name in element.split(".") if element else ():
+            x = _inner(x)
+            x = x.get(name) if isinstance(x, dict) else None
+        return x
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -246,20 +302,27 @@ def shred(df: DataFrame, key: str, text: str, fields: tuple[str, ...], tables: l
                     continue
                 held: dict[str | None, list[tuple[tuple[int, ...], object]]] = {None: [((), record)]}
                 for rel, parent, element, how, names, inside in plan:
+                    if how == "record":
+                        held[rel] = held[None]
+                        out.append((rel, id_, -1, -1, flat(rel, record), []))
+                        continue
                     held[rel] = []
-                    for at, x in held[parent]:
-                        inner = x.get(element) if element and isinstance(x, dict) else None if element else x
-                        for k, y in elements(inner) if how == "list" else keyed(inner, names, inside):
+                    todo = [(at, x, element) for at, x in held[parent]]
+                    for at, x, name in todo:
+                        inner = held_in(x, name)
+                        for k, y in keyed(inner, names, inside) if how == "keyed" else elements(inner):
                             if k is not None and -(2**63) <= k < 2**64:
                                 k -= 2**64 if k >= 2**63 else 0
                                 held[rel].append(((*at, k), y))
-                                out.append((rel, id_, *((*at, k, -1)[:2]), flat(y)))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+                                out.append((rel, id_, *((*at, k, -1)[:2]), flat(rel, y), [*at, k][2:]))
+                                if how == "recursive":
+                                    todo.append(((*at, k), y, element.rpartition(".")[2]))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["rel", "parent_id", "k1", "k2", "columns"]
+                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())), strict=True)], ["rel", "parent_id", "k1", "k2", "columns", "rest"]
             )
 
-    return df.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(rows, "rel string, parent_id bigint, k1 bigint, k2 bigint, columns string")
+    return df.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(rows, "rel string, parent_id bigint, k1 bigint, k2 bigint, columns string, rest array<bigint>")
 
 
 def is_readable(df: DataFrame, key: str, order: str, text: str, fields: tuple[str, ...]) -> DataFrame:
@@ -297,4 +360,4 @@ def explode_typed(df: DataFrame, key: str, column: str, rel: str, inner: dict[st
         named = F.arrays_zip(F.array_repeat(F.lit(name), F.size(entries)).alias("rel"), entries.alias("e"))
         parts.append(F.transform(named, lambda s: F.struct(s["rel"].alias("rel"), s["e"]["k2"].alias("k2"), s["e"]["columns"].alias("columns"))))
     rows = top.select("parent_id", F.col("_p").cast("bigint").alias("k1"), F.explode(F.concat(*parts)).alias("_r"))
-    return rows.select("_r.rel", "parent_id", "k1", "_r.k2", "_r.columns")
+    return rows.select("_r.rel", "parent_id", "k1", "_r.k2", "_r.columns", F.array().cast("array<bigint>").alias("rest"))

@@ -21,27 +21,43 @@ REPORT_TABLES = [
 ]
 
 
-def report_rows(spark: SparkSession, folder: str) -> DataFrame:
+#: Names of relations by path, with other spellings of keys and contents, and what makes each of them a table even where a folder holds lone ones only.
+REPORT_NAMES = {
+    "$.clusters": ("cluster",), "$.clusters.addresses": ("cluster_address",), "$.indirect_structs": ("indirect_base", "base", "base_address", "address", "va", "/", "fields", "offsets"), "$.indirect_structs{}": ("indirect_field", "offset", "off", "field"),
+}
+REPORT_KINDS = [("$.clusters", "list"), ("$.clusters.addresses", "list"), ("$.indirect_structs", "map"), ("$.indirect_structs{}", "map")]
+#: The relations of p1_found.
+CHILDREN = ("cluster", "cluster_address", "indirect_base", "indirect_field", "constraint", "constraint_var")
+
+
+def report_rows(spark: SparkSession, folder: str, only: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of the reports' tables, which are those that inlining of their schema graph gives."""
     reports = table(spark, folder, "geometry_report").filter("payload is not null")
-    best = N.latest_readable(reports, "report_id", "run_ts", "payload", REPORT_FIELDS)
-    return N.shred(best, "report_id", "payload", REPORT_FIELDS, REPORT_TABLES)
+    best = cut(N.latest_readable(reports, "report_id", "run_ts", "payload", REPORT_FIELDS))
+    graph = [(r["path"], r["kind"]) for r in N.schema_graph(best, "payload", REPORT_FIELDS).select("path", "kind").collect()]
+    plan = N.shred_plan(N.inlining(graph + REPORT_KINDS), REPORT_NAMES)
+    rows = N.shred(best, "report_id", "payload", REPORT_FIELDS, [t for t in plan if not only or t[0] in ("record", *only)])
+    return rows.filter(F.col("rel").isin(*only)) if only else rows
 
 
 def exec_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the executions' constraints and of each list in them, by inlining of their type."""
     runs = table(spark, folder, "exec_result")
-    return N.explode_typed(runs, "exec_id", "constraints", "constraint", {"vars": "constraint_var"})
+    tables = N.inlining(N.type_graph(runs.schema["constraints"].dataType))
+    lists = [p[2:] for p, t in tables.items() if t["parent"] == "$" and t["why"] == "repeated" and "." not in p[2:]]
+    return N.explode_typed(runs, "exec_id", "constraints", "constraint", {x: {"vars": "constraint_var"}.get(x, f"constraint_{x}") for x in lists})
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Children of reports and executions, one row each."""
-    rows = report_rows(spark, folder).unionByName(exec_rows(spark, folder))
+    rows = report_rows(spark, folder, CHILDREN).unionByName(exec_rows(spark, folder).filter(F.col("rel").isin(*CHILDREN)))
     return rows.select("rel", "parent_id", "k1", "k2").distinct()
 
 
 def p1_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of all flat tables with their inlined columns; copies of a child keep the greatest."""
+    """The rows of all flat tables, the record's among them, with their inlined columns; copies of a child keep the greatest."""
     rows = report_rows(spark, folder).unionByName(exec_rows(spark, folder))
-    return rows.groupBy("rel", "parent_id", "k1", "k2").agg(F.max("columns").alias("columns"))
+    return rows.groupBy("rel", "parent_id", "k1", "k2", "rest").agg(F.max("columns").alias("columns")).select("rel", "parent_id", "k1", "k2", "columns", "rest")
 
 
 def p1_schema(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ from corvane.operators import nested as N
 from corvane.operators.orphans import dangling_references
 from corvane.plans import bloom
 from corvane.plans.skew import salted_join
-from corvane.plans.structure_queries import REPORT_FIELDS, REPORT_TABLES
+from corvane.plans.structure_queries import REPORT_FIELDS, REPORT_TABLES, p1_found, p1_tables
 
 
 def test_addresses(spark):
@@ -138,3 +138,20 @@ def test_dangling(spark):
     got = {(r["ref_key"], r["target"], r["state"]) for r in dangling_references(refs, parents, gone, ["label", "target"]).collect()}
     assert got == {("k1", 2, "late"), ("k2", 3, "deleted"), ("k3", 4, "missing"), ("k5", 9, "missing")}
     assert dangling_references(refs, parents.limit(0), gone.limit(0), ["label", "target"]).filter("state != 'missing'").count() == 0
+
+
+def test_tables_come_from_the_schema_graph(spark, tmp_path):
+    cluster = {"base": 1, "addresses": [1], "offsets": [0, None, 4], "hub_globals": [9], "loc": {"x": 1}}
+    report = {"n_globals": 2, "dominant_type": None, "clusters": [cluster], "indirect_structs": {"16": {"8": [4, 2], "12": {"size": 4, "fn_count": 2}}}, "loc": {"x": 2}, "extra": {"deep": [{"more": [7]}]}, "node": {"v": 1, "node": {"v": 2, "node": {"v": 3}}}}
+    spark.createDataFrame([(1, "2026-01-01", json.dumps(report))], "report_id bigint, run_ts string, payload string").withColumn("run_ts", F.col("run_ts").cast("timestamp")).write.parquet(f"{tmp_path}/geometry_report.parquet")
+    spark.createDataFrame([(5, [{"addr": 3, "vars": ["a"], "marks": [6]}])], "exec_id bigint, constraints array<struct<addr: bigint, vars: array<string>, marks: array<int>>>").write.parquet(f"{tmp_path}/exec_result.parquet")
+    rows = p1_tables(spark, str(tmp_path)).collect()
+    got = {(r["rel"], r["parent_id"], r["k1"], r["k2"], *r["rest"]): r["columns"] and json.loads(r["columns"]) for r in rows}
+    assert got == {
+        ("record", 1, -1, -1): {"n_globals": 2, "dominant_type": None, "extra": {}, "node": {"v": 1}}, ("loc", 1, 0, -1): {"x": 2}, ("cluster_loc", 1, 0, 0): {"x": 1},
+        ("cluster", 1, 0, -1): {"base": 1}, ("cluster_address", 1, 0, 0): 1, ("cluster_offsets", 1, 0, 0): 0, ("cluster_offsets", 1, 0, 2): 4, ("cluster_hub_globals", 1, 0, 0): 9,
+        ("indirect_base", 1, 16, -1): None, ("indirect_field", 1, 16, 8): [4, 2], ("indirect_field", 1, 16, 12): {"size": 4, "fn_count": 2},
+        ("extra_deep", 1, 0, -1): None, ("extra_deep_more", 1, 0, 0): 7, ("node_node", 1, 0, -1): {"v": 2}, ("node_node", 1, 0, 0): {"v": 3},
+        ("constraint", 5, 0, -1): {"addr": 3}, ("constraint_var", 5, 0, 0): {"value": "a"}, ("constraint_marks", 5, 0, 0): {"value": 6},
+    }
+    assert {r["rel"] for r in p1_found(spark, str(tmp_path)).collect()} == {"cluster", "cluster_address", "indirect_base", "indirect_field", "constraint", "constraint_var"}
