@@ -67,9 +67,10 @@ def jump_density(stairs: DataFrame) -> DataFrame:
     return g.withColumn("ratio", F.when(F.col("early") > 0, F.col("late") / F.col("early")).otherwise(F.lit(0.0)))
 
 
-def singular_values(cells: DataFrame, k: int = 30) -> DataFrame:
-    """(matrix, i, sigma, gap, mp_upper, over): largest singular values of each 0/1 matrix.
+def singular_values(cells: DataFrame, k: int | None = 30) -> DataFrame:
+    """(matrix, i, sigma, gap, mp_upper, over): largest singular values of each 0/1 matrix, or all with ``k`` None.
 
+    Values within rounding of 0 are 0.
     ``gap`` is 1 - sigma2/sigma1; ``mp_upper`` the edge that chance would give the
     eigenvalues of the centred, scaled matrix; ``over`` how far the value is above it.
     """
@@ -79,7 +80,8 @@ def singular_values(cells: DataFrame, k: int = 30) -> DataFrame:
         m = np.zeros((rows.max() + 1, cols.max() + 1))
         m[rows, cols] = 1
         small = m @ m.T if m.shape[0] <= m.shape[1] else m.T @ m
-        sigma = np.sqrt(np.maximum(np.linalg.eigvalsh(small)[::-1], 0))[:k]
+        values = np.linalg.eigvalsh(small)[::-1]
+        sigma = np.sqrt(np.where(values > values[0] * len(values) * np.finfo(float).eps, values, 0))[:k]
         gamma = min(m.shape) / max(m.shape)
         upper = m.var() * max(m.shape) * (1 + gamma**0.5) ** 2
         gap = 1 - sigma[1] / sigma[0] if len(sigma) > 1 and sigma[0] > 0 else 1.0
@@ -158,11 +160,14 @@ def spacings(values: DataFrame, by: str = "matrix") -> DataFrame:
 
 
 def brody(spacing: DataFrame, by: str = "matrix") -> DataFrame:
-    """(by, beta, ks): the Brody exponent in [0.01, 1.2] that fits the spacings best."""
+    """(by, beta, ks): the Brody exponent in [0.01, 1.2] that fits the spacings best; equal values have no spacing, and null is the exponent of none."""
     from math import gamma
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         s = np.sort(pdf["spacing"].to_numpy())
+        s = s[s > 1e-9]
+        if not len(s):
+            return pd.DataFrame({by: [pdf[by].iloc[0]], "beta": [None], "ks": [None]})
         e = (np.arange(len(s)) + 1) / len(s)
         best = min(((np.abs(1 - np.exp(-(gamma((b + 2) / (b + 1)) ** (b + 1)) * s ** (b + 1)) - e)).max(), b) for b in np.linspace(0.01, 1.2, 120))
         return pd.DataFrame({by: [pdf[by].iloc[0]], "beta": [best[1]], "ks": [best[0]]})

@@ -67,7 +67,8 @@ def leverage(s, d):
 
 @query()
 def brody_beta(s, d):
-    return rounded(spectral.brody(spectral.spacings(spectral.singular_values(_cells(s, d), 200))), "beta", "ks", digits=4)
+    """The Brody exponent of each binary's whole spectrum."""
+    return rounded(spectral.brody(spectral.spacings(spectral.singular_values(_cells(s, d), None))), "beta", "ks", digits=4)
 
 
 @query()

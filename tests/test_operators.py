@@ -229,3 +229,21 @@ def test_local_graph_equals_the_rounds(spark):
         got, want = rows(L.compound(nodes, edges, "own", local_rows=limit)), rows(G.compound_score(nodes, edges, "own", scc, rank).select("node", "score"))
         assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-9 for g, w in zip(got, want, strict=True))
     assert rows(L.component_names(nodes, edges)) == rows(G.components(nodes, edges))
+
+
+def test_brody_fits_the_whole_spectrum(spark, monkeypatch):
+    import numpy as np
+
+    from corvane.plans import kernel_queries
+
+    rng = np.random.default_rng(4)
+    m = np.kron(np.eye(2), rng.random((130, 140)) < 0.3)
+    m[130:, 140:] = rng.random((130, 140)) < 0.02
+    cells = spark.createDataFrame([("b", int(i), int(j)) for i, j in zip(*np.nonzero(m), strict=True)], "matrix string, row_id int, col_id int")
+    monkeypatch.setattr(kernel_queries, "_cells", lambda s, d: cells)
+    m = m[m.any(axis=1)][:, m.any(axis=0)]
+    sigma = np.linalg.svd(m, compute_uv=False)
+    sigma[sigma < 1e-6] = 0
+    fit = lambda v: [round(x, 4) for x in spectral.brody(spectral.spacings(spark.createDataFrame([("b", float(x)) for x in v], "matrix string, sigma double"))).first()[1:]]
+    got = kernel_queries.brody_beta(spark, "").first()
+    assert [got["beta"], got["ks"]] == fit(sigma) != fit(sigma[:200])
