@@ -61,7 +61,7 @@ def p6_terms(spark: SparkSession, folder: str) -> DataFrame:
     name_terms = names.select(F.col("fn_id").alias("record"), F.explode(terms.name_words("name")).alias("term"), F.lit("name").alias("field_name"))
     classes = latest(table(spark, folder, "classify_result"), ["cls_id"], "classified_ts", ["func_class"])
     classes = classes.select(F.col("cls_id").alias("record"), F.lower(F.regexp_replace("func_class", r"^\s+|\s+$", "")).alias("term"), F.lit("func_class").alias("field_name")).filter("term != ''")
-    counted = terms.term_counts(name_terms.unionByName(classes), ["field_name"])
+    counted = terms.term_counts(name_terms.unionByName(classes), ["field_name"], gathered=True)
     totals = names.agg(F.count("*").alias("total")).withColumn("field_name", F.lit("name")).unionByName(classes.agg(F.count("*").alias("total")).withColumn("field_name", F.lit("func_class")))
     return terms.marked(counted, totals, ["field_name"])
 

@@ -34,6 +34,24 @@ def test_terms(spark):
     assert [r[0] for r in names.select(terms.name_words("n")).collect()] == [["read", "sample", "httpx"], ["def"], None, []]
 
 
+def test_last_seen_counters(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [("f", rng.choice("abcde"), rng.randrange(40)) for _ in range(900)] + [("g", "a", 3)]
+    want = {(g, t): (sum(r[:2] == (g, t) for r in rows), len({r[2] for r in rows if r[:2] == (g, t)})) for g, t, _ in rows}
+    # counters cross the edges of batches: a record that goes on in the next batch counts once
+    seen, ordered = terms.LastSeen(), sorted(rows, key=lambda r: r[2])
+    for at in range(0, len(ordered), 7):
+        part = ordered[at : at + 7]
+        seen.add([np.array([ord(r[0]) - 97 for r in part]), np.array([ord(r[1]) - 97 for r in part])], [list("abcdefg"), list("abcde")], np.array([r[2] for r in part]))
+    assert {(g, t): (o, n) for g, t, o, n in zip(*seen.flush(), strict=True)} == want
+    df = spark.createDataFrame(rows, "k string, term string, record bigint")
+    for held in (500_000, 1):
+        monkeypatch.setattr(terms, "HELD_TERMS", held)
+        got = {(r["k"], r["term"]): (r["occurrences"], r["records"]) for r in terms.term_counts(df, ["k"]).collect()}
+        assert got == want
+    assert terms.term_counts(df.limit(0), ["k"]).count() == 0
+
+
 def brute(texts, n, t, least):
     sets = {}
     for k, x in texts:
