@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp, log
+from math import exp, floor, inf, isfinite, log
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,12 @@ def _encoder(path: str):
 def token_sizes(texts: DataFrame, keep: list[str], text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(keep, tokens): the number of tokens of each whole text; null texts have 0."""
     kinds = dict(texts.dtypes)
+    # shipped to the executors, which need not have the file
+    texts.sparkSession.sparkContext.addFile(vocabulary)
+    shipped = os.path.basename(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary).encode_ordinary
+        encode = _encoder(SparkFiles.get(shipped)).encode_ordinary
         for batch in batches:
             sizes = [0 if t is None else len(encode(t)) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes, pa.int64())], [*keep, "tokens"])
@@ -75,75 +80,89 @@ def exponent_for_entropy(shares: list[float], entropy: float) -> float:
     return (low + high) / 2
 
 
-def _between(natural: list[float], target: list[float], exponent: float) -> list[float]:
-    """Natural shares times (target over natural) to a power: 0 natural, 1 target."""
-    raw = [n * (t / n) ** exponent for n, t in zip(natural, target, strict=True)]
+def between(natural: list[float], target: list[float], exponent: float) -> list[float]:
+    """Natural shares times (target over natural) to a power, normalised: 0 natural, 1 target."""
+    if not natural:
+        return []
+    logs = [log(n) + exponent * (log(t) - log(n)) for n, t in zip(natural, target, strict=True)]
+    top = max(logs)
+    raw = [exp(x - top) for x in logs]
     return [x / sum(raw) for x in raw]
 
 
+#: Relative play within which a share counts as being at its limit.
+PLAY = 1e-9
+
+
 def exponent_for_limits(natural: list[float], target: list[float], limits: list[float]) -> float:
-    """The greatest exponent in [0, 1] with every share at most its limit; 0 if there is none."""
-    fits = lambda e: all(x <= m + 1e-12 for x, m in zip(_between(natural, target, e), limits, strict=True))
+    """An exponent in [0, 1] up to which every share keeps within its limit and beyond which one does not; 1 if all keep to it there, 0 if not even there."""
+    fits = lambda e: all(x <= m * (1 + PLAY / 1000) for x, m in zip(between(natural, target, e), limits, strict=True))
     if fits(1.0):
         return 1.0
     low, high = 0.0, 1.0
-    for _ in range(60):
+    for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if fits(mid) else (low, mid)
     return low
 
 
-def solve(available: dict[str, int], weights: dict[str, float], repeats: dict[str, float], budget: float | None = None) -> dict[str, dict[str, float]]:
+def solve(available: dict[str, int], weights: dict[str, float], repeats: dict[str, float], budget: float | None = None, entropy: float | None = None) -> dict[str, dict[str, float]]:
     """For each source its target share, exponent and budget in tokens.
 
-    Weights are divided by their sum over the sources that occur.  The exponent that
-    carries shares from natural (0) to target (1) is bisected against the repetition
-    limits.  Below 1 it would pull every source off its target for the sake of one, so
-    the sources that bind are fixed at their limit and the exponent is bisected again
-    for the others, until it is 1: these then have their target share of what is left.
-    ``exponent`` is the first one found for the plan.  ``budget`` is the size of the
-    mixture in tokens, by default that of the plan's sources.
+    Weights are divided by their sum.  Shares are the sources' token shares under a
+    temperature: natural at exponent 0, the target at 1.  The exponent is bisected against
+    the repetition limits; the budgets are the shares at that exponent.  A single exponent
+    would hold every source off its target for the sake of one that is short, so only the
+    sources that have reached their limit keep the share they have there, with the
+    exponent at which they did; for the others, which share what is left, the exponent
+    goes on.  At least one source is fixed a round, so it ends on any input.
+
+    With ``entropy`` (natural log) the target is instead the sources' token shares to the
+    power, in [0, 1], that is bisected to this entropy.  ``budget`` is the size of the
+    mixture in tokens, by default that of the plan's sources.  Sources that do not occur
+    or have no positive weight get nothing; if all limits together are below the budget,
+    the mixture is smaller.
     """
-    there = {s: n for s, n in available.items() if n > 0 and weights.get(s, 0) > 0}
     out = {s: {"target": 0.0, "exponent": 1.0, "budget": 0.0} for s in weights}
-    total_weight = sum(weights[s] for s in weights if weights[s] > 0)
-    for s in weights:
-        out[s]["target"] = max(weights[s], 0.0) / total_weight if total_weight else 0.0
-    if not there:
-        return out
-    size = float(sum(there.values())) if budget is None else float(budget)
-    free, left, first = set(there), size, None
-    while free:
-        names = sorted(free)
-        natural = [there[s] / sum(there[x] for x in names) for s in names]
-        target = [weights[s] / sum(weights[x] for x in names) for s in names]
-        limits = [repeats[s] * there[s] / left if left > 0 else 0.0 for s in names]
+    total = sum(w for w in weights.values() if w > 0)
+    for s, w in weights.items():
+        out[s]["target"] = max(w, 0.0) / total if total else 0.0
+    free = sorted(s for s in weights if available.get(s, 0) > 0 and weights[s] > 0)
+    size = float(sum(available[s] for s in free)) if budget is None else float(budget)
+    goal = {s: weights[s] for s in free}
+    if entropy is not None and free:
+        natural = [available[s] / sum(available[x] for x in free) for s in free]
+        goal = dict(zip(free, tempered(natural, exponent_for_entropy(natural, entropy)), strict=True))
+        for s in weights:
+            out[s]["target"] = goal.get(s, 0.0)
+    left = size
+    while free and left > PLAY * size:
+        natural = [available[s] / sum(available[x] for x in free) for s in free]
+        target = [goal[s] / sum(goal[x] for x in free) for s in free]
+        limits = [repeats[s] * available[s] / left for s in free]
         e = exponent_for_limits(natural, target, limits)
-        first = e if first is None else first
-        if e == 1.0:
-            for s, t in zip(names, target, strict=True):
-                out[s]["budget"] = t * left
-            break
-        bound = [s for s, t, m in zip(names, target, limits, strict=True) if t > m + 1e-12]
-        for s in bound:
-            out[s]["budget"] = repeats[s] * there[s]
-            left -= out[s]["budget"]
-            free.discard(s)
-    for s in out:
-        out[s]["exponent"] = 1.0 if first is None else first
+        shares = dict(zip(free, between(natural, target, e), strict=True))
+        most = dict(zip(free, limits, strict=True))
+        fixed = [s for s in free if e == 1.0 or shares[s] >= most[s] * (1 - PLAY)]
+        fixed = fixed or [max(free, key=lambda s: shares[s] / most[s] if most[s] else inf)]
+        for s in fixed:
+            out[s]["exponent"], out[s]["budget"] = e, min(shares[s], most[s]) * left
+        left -= sum(out[s]["budget"] for s in fixed)
+        free = [s for s in free if s not in set(fixed)]
     return out
 
 
-def mixture(sizes: DataFrame, targets: DataFrame, seed: int = 0, budget: float | None = None) -> tuple[DataFrame, DataFrame]:
+def mixture(sizes: DataFrame, targets: DataFrame, seed: int = 0, budget: float | None = None, entropy: float | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows of the mixtures and the shares reached.
 
     ``sizes`` has (doc_id, source, tokens), ``targets`` (plan, source, weight,
     max_repeats), at most MAX_TARGETS rows; of repeated targets the greatest counts.
-    Rows (plan, source, doc_id, tokens, copies): a source is used in blocks, each a
-    random permutation of its texts; whole blocks first, then the next block up to the
-    budget.  Texts without tokens or source, and sources without a target, are in no
-    mixture.  Shares (plan, source, target_share, share, tokens, available, repeats,
-    exponent): of sources that do not occur, share and tokens are 0.
+    Rows (plan, source, doc_id, tokens, blocks, copies): a source is used in ``blocks``
+    whole blocks, each a permutation of all its texts, and then in one more, up to the
+    budget; ``ordered`` writes them out.  Texts without tokens or source, and sources
+    without a target, are in no mixture.  Shares (plan, source, target_share, share,
+    shortfall, tokens, available, repeats, exponent): of sources that do not occur, share
+    and tokens are 0; ``shortfall`` is what a share lacks of its target.
     """
     spark = sizes.sparkSession
     used = cut(sizes.filter((F.col("tokens") > 0) & F.col("source").isNotNull()))
@@ -155,25 +174,44 @@ def mixture(sizes: DataFrame, targets: DataFrame, seed: int = 0, budget: float |
     table = []
     for plan in sorted({r["plan"] for r in rows}):
         own = [r for r in rows if r["plan"] == plan]
-        found = solve({r["source"]: totals.get(r["source"], 0) for r in own}, {r["source"]: float(r["weight"] or 0) for r in own}, {r["source"]: float("inf") if r["max_repeats"] is None else float(r["max_repeats"]) for r in own}, budget)
+        weights = {r["source"]: float(r["weight"] or 0) if r["weight"] is None or isfinite(r["weight"]) else 0.0 for r in own}
+        repeats = {r["source"]: inf if r["max_repeats"] is None else max(0.0, float(r["max_repeats"])) for r in own}
+        found = solve({r["source"]: totals.get(r["source"], 0) for r in own}, weights, repeats, budget, entropy)
         for r in own:
             x, n = found[r["source"]], totals.get(r["source"], 0)
-            blocks = int(x["budget"] // n) if n else 0
-            table.append((plan, r["source"], x["target"], x["exponent"], n, x["budget"], blocks, x["budget"] - blocks * n if n else 0.0))
-    plans = spark.createDataFrame(table, "plan string, source string, target_share double, exponent double, available bigint, budget double, blocks int, rest double")
+            blocks = floor(x["budget"] / n + PLAY) if n else 0
+            table.append((plan, r["source"], x["target"], x["exponent"], n, x["budget"], blocks, max(0.0, x["budget"] - blocks * n) if n else 0.0))
+    plans = spark.createDataFrame(table, "plan string, source string, target_share double, exponent double, available bigint, budget double, blocks bigint, rest double")
     plans = F.broadcast(plans)
-    pool = used.join(plans.filter("budget > 0"), "source").withColumn("_at", F.xxhash64(F.lit(seed), "plan", "source", "blocks", "doc_id"))
     group = ["plan", "source"]
+    pool = used.join(plans.filter("budget > 0"), "source").withColumn("_at", _place(seed, F.col("blocks")))
     ranged = range_sorted(pool.select(*group, "doc_id", "tokens", "blocks", "rest", "_at"), group, ["_at", "doc_id"])
     parts, _ = with_offsets(ranged, group, "tokens")
     summed = running(ranged, parts, group, ["_at", "doc_id"], "tokens")
     copies = F.col("blocks") + (F.col("_cum") <= F.col("rest") + 1e-6).cast("int")
-    out = summed.select(*group, "doc_id", "tokens", copies.alias("copies")).filter("copies > 0")
-    out = cut(out)
+    out = cut(summed.select(*group, "doc_id", "tokens", "blocks", copies.alias("copies")).filter("copies > 0"), ranged)
     reached = out.groupBy(*group).agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
     whole = reached.groupBy("plan").agg(F.sum("tokens").alias("_whole"))
     shares = plans.join(reached, group, "left").join(whole, "plan", "left")
     tokens = F.coalesce("tokens", F.lit(0))
-    return out, shares.select(
-        *group, "target_share", F.coalesce(tokens / F.col("_whole"), F.lit(0.0)).alias("share"), tokens.alias("tokens"), "available", F.when(F.col("available") > 0, tokens / F.col("available")).otherwise(F.lit(0.0)).alias("repeats"), "exponent"
-    )
+    share = F.coalesce(tokens / F.col("_whole"), F.lit(0.0))
+    repeated = F.when(F.col("available") > 0, tokens / F.col("available")).otherwise(F.lit(0.0))
+    return out, shares.select(*group, "target_share", share.alias("share"), F.greatest(F.col("target_share") - share, F.lit(0.0)).alias("shortfall"), tokens.alias("tokens"), "available", repeated.alias("repeats"), "exponent")
+
+
+def _place(seed: int, block: Column) -> Column:
+    """Where a text stands in the permutation of a block."""
+    return F.xxhash64(F.lit(seed), "plan", "source", block, "doc_id")
+
+
+def ordered(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """(plan, source, block, position, doc_id, tokens): the mixtures written out, block by block, each in its own order.
+
+    As many rows as the mixtures have texts; a source without a limit of repeats is
+    repeated as often as its share asks.
+    """
+    group = ["plan", "source", "block"]
+    each = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))).withColumn("_at", _place(seed, F.col("block")))
+    ranged = range_sorted(each.select(*group, "doc_id", "tokens", "_at").withColumn("_one", F.lit(1)), group, ["_at", "doc_id"])
+    parts, _ = with_offsets(ranged, group, "_one")
+    return running(ranged, parts, group, ["_at", "doc_id"], "_one").select(*group, (F.col("_cum") - 1).alias("position"), "doc_id", "tokens")

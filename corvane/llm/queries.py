@@ -93,6 +93,11 @@ def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder)[0]
 
 
+def p8_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixtures written out: block and position of every copy of a text."""
+    return mixing.ordered(_mixture(spark, folder)[0])
+
+
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and reached shares of each plan and source."""
     return _mixture(spark, folder)[1]
@@ -121,6 +126,6 @@ def p9_functions(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p3_percentiles": p3_percentiles, "p3_counts": p3_counts, "p5_found": p5_found, "p5_classes": p5_classes, "p5_documents": p5_documents, "p6_found": p6_found, "p6_terms": p6_terms,
-    "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
+    "p7_found": p7_found, "p7_items": p7_items, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_order": p8_order,
     "p9_found": p9_found, "p9_composition": p9_composition, "p9_functions": p9_functions,
 }
