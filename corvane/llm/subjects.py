@@ -1,361 +1,318 @@
 """Subject areas of documents, from labelling functions over their statements.
 
 A document is cut into statements: sentences, list lines and table rows.  Four
-labelling functions vote on each:
-
-* lexicon: the words and word pairs of the statement,
-* address: the words of a symbol that a list line is about,
-* section: the areas of the other statements of the document, where words leave the area open,
-* source: the areas that prevail in documents of its source, likewise.
-
-What words say about areas is learned from general seed words, from a bounded sample
-of documents labelled by hand, and from the whole corpus: rounds over all documents
-alternate between the areas of a document, given what its words tell, and what each
-word tells, given the areas of the documents that hold it.  How far each labelling function can be trusted is
-then learned without labels, from how often votes agree, by a latent model over the
-counts of vote patterns; its posteriors decide the area of each statement.  A
-document has the areas of at least three of its statements.
+labelling functions vote on each, independently of one another:
+
+* lexicon: the words and word pairs of the statement; it votes for an area, or for none,
+* address: the words of the symbol that a list line is about,
+* section: the area that the other statements of its section treat, if it is only one,
+* source: the area that prevails in documents of its source.
+
+What words say about areas is learned, in any language: from a bounded sample of
+documents labelled by hand and from the descriptions of the areas first, then in rounds
+over the whole corpus, which alternate between the areas of a document, given what its
+words tell, and what each word tells, given the areas of the documents that hold it.
+There is no list of words.  How far each labelling function can be trusted is then
+learned without labels, from how often votes agree, by a latent model over the counts
+of vote patterns; its posteriors decide the area of each statement.  A document has the
+areas of at least three of its statements.
+
+All of it but the fit on vote patterns, which are bounded by the areas, is joins and
+sums over tables: statements recur once their symbols and numbers are left out, so what
+words tell is computed once for each distinct statement.
 """
 
 from __future__ import annotations
 
-import html
-import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, drop
 from ..plans.spread import spread
 from .mixing import source_name
 
-#: Labelled documents used to fit, features kept, and rounds over the corpus.
-MAX_LABELLED, MAX_FEATURES, ROUNDS = 20_000, 300_000, 3
+#: Labelled documents used to fit, rounds over the corpus, and areas at most.
+MAX_LABELLED, ROUNDS, MAX_SUBJECTS = 20_000, 5, 100
 #: Statements that make an area of a document.
 STATEMENTS = 3
+#: Weight, in documents, of the even distribution that a feature's areas are drawn to, and the share that makes it tell an area.
+SHRINK, TELLING = 2.0, 0.55
+#: Sums of statements from which an area of a document is more than a remark, and posteriors that are not passed on.
+REMARK, NEGLIGIBLE = 1.5, 1e-3
+#: Weight, in documents, of the even share that a source's areas are drawn to.
+SOURCE = 20.0
+#: Posterior from which the words of a statement settle its area; below it they leave it open.
+FIRM, OPEN = 0.9, -1
+
+# Patterns are free of repeated groups over whole texts, which would recurse on long ones.
+_BREAK = r"(?i)</?(?:p|li|ul|ol|td|tr|table|h\d|div|br|pre|blockquote)\b[^>]{0,200}>"
+_TAG = r"<[^>\n]{1,200}>"
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+_HEADING = r"(?m)^[ \t]*#.*$"
+_RULE = r"(?m)^[|:\- \t]+$"
+_LEAD = r"(?m)^[ \t>]*(?:\[\d{1,2}:\d{2}(?::\d{2})?\]|\|[ \t]*\d+[ \t]*\||\|)?[ \t]*"
+_TRAIL = r"(?m)[ \t]*\|?[ \t]*$"
+_SENTENCE = r"(?<=[.?!])[\"')\]]{0,3}\s+(?=\S)|\s+(?=- `)|(?<=[a-z])\s+(?=\[\d\d:\d\d\])"
+_NAME = r"(?:[A-Za-z]\w*_\w+|[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*)"
+_LISTED = rf"\s*(?:[-*+•]\s*`?|`){_NAME}`?\s+(?:\p{{L}}+\s+){{1,3}}`?{_NAME}`?"
+_SYMBOL = r"`[^`\n]{1,120}`|\b\w+_\w+\b|\b[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*\b|\b0[xX][0-9a-fA-F]+\b|\b\d[\w.]*\b"
+_SNAKE = r"\b([a-z][a-z0-9]*_[a-z0-9_]*)\b"
+_WORD = r"(\p{L}+(?:['-]\p{L}+){0,8})"
+
+
+def _sections(text: Column) -> Column:
+    """The parts between headings, as one text each with a statement a line; table heads and rules are none."""
+    t = text
+    plain = t
+    for entity, char in _ENTITIES:
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    t = F.when(F.contains(t, F.lit("&")), plain).otherwise(t)
+    t = F.when(F.contains(t, F.lit("<")), F.regexp_replace(F.regexp_replace(t, _BREAK, "\n"), _TAG, " ")).otherwise(t)
+    t = F.when(F.contains(t, F.lit("#")), F.regexp_replace(t, _HEADING, "\u0002")).otherwise(t)
+    t = F.when(F.contains(t, F.lit("|")), F.regexp_replace(t, _RULE, "")).otherwise(t)
+    t = F.regexp_replace(F.regexp_replace(t, _LEAD, ""), _TRAIL, "")
+    t = F.regexp_replace(t, _SENTENCE, "\n")
+    t = F.regexp_replace(t, rf"(?m)^({_LISTED})[ .,;|]+(?=\S)", "$1\n")
+    return F.split(t, "\u0002")
+
+
+def statements(documents: DataFrame, text: str) -> DataFrame:
+    """``documents`` without ``text``, with a row (section, statement) for each statement of the whole text; null texts have none."""
+    kept = [c for c in documents.columns if c != text]
+    parts = documents.select(*kept, F.posexplode(_sections(F.col(text))).alias("section", "_part"))
+    return parts.select(*kept, "section", F.explode(F.split("_part", "\n+")).alias("statement")).filter(F.col("statement").rlike(r"[^ \t|\-]"))
+
+
+def kinds(rows: DataFrame) -> DataFrame:
+    """``rows`` with the kind of each ``statement``: (shape, symbols, listed).
+
+    ``shape`` is its text without symbols and numbers, in lower case; ``symbols`` are the
+    words of the symbols it names, and of a list line about a symbol (``listed``) those of
+    that symbol alone.
+    """
+    s = F.col("statement")
+    shape = F.trim(F.regexp_replace(F.lower(F.regexp_replace(s, _SYMBOL, " ")), r"[^\p{L}'-]+", " "))
+    first = F.regexp_extract(s, rf"^\W*({_NAME})", 1)
+    named = F.when(F.col("listed"), F.array(F.lower(first))).when(F.contains(s, F.lit("_")), F.regexp_extract_all(s, F.lit(_SNAKE), 1)).otherwise(F.array().cast("array<string>"))
+    listed = rows.withColumn("listed", F.contains(s, F.lit("_")) & s.rlike(rf"^{_LISTED}\W*$") | s.startswith("`") & s.rlike(rf"^{_LISTED}\W*$"))
+    return listed.withColumn("shape", F.when(F.col("listed"), "").otherwise(shape)).withColumn("symbols", F.array_join(named, "_")).drop("statement")
 
-#: Seed words by area: general knowledge of the fields in the languages of the corpus, lower-case.
-SEEDS = {
-    "audio_signal": "audio sound pcm fft pitch voice voices sampling resampler reverb equaliser equalizer decibel hertz loudness spectrum silence band_energies low-pass gain_ramp abtastrate lautstärke spektrum frecuencia_de_muestreo volumen espectro tonhöhe tonkanal klang hallraum ruido tono canal_de_audio mezcla",
-    "cryptography": "cipher decryption encrypts decrypts plaintext ciphertext s-box hmac mac digest nonce signature certificate key_schedule modulus salt rsa aes sha padding_oracle blockchiffre hashzustand signatur schlüssel cifrado firma certificado clave zertifikat verschlüsselt entschlüsselt zufallszahl schlüsselplan descifrado resumen_criptográfico nonce",
-    "emulation": "guest emulated emulates emulator opcode_decoder cartridge vmexit guest_memory host_trampoline irq interrupts save_state translated_code gast gastspeicher huésped banco_de_memoria emulado gastsystem gastregister gastinterrupt gastbefehl befehlssatz befehlsdecoder spielstand übersetzungspuffer speicherbank registro_del_huésped interrupción_del_huésped búfer_de_traducción",
-    "graphics_video": "shader texture vertex viewport pixel pixels macroblock framebuffer scanline sprite bitrate luma chroma renders picture pictures swapchain palette referenzbild farbpalette textur sombreador textura bildpuffer bewegungsvektor bildrate píxel fotograma vector_de_movimiento imagen_de_referencia",
-    "interpreters": "lexer parser bytecode closure syntax_tree scope_chain interpreter garbage_collector opcodes recursive_descent script inline_cache regular_expression syntaxbaum ausnahmetabelle tabla_de_excepciones intérprete referenzzähler sprungtabelle ámbitos árbol_sintáctico contador_de_referencias intérprete",
-    "licensing_law": "licence license liability copyleft statute vendor disclosure counsel clause patent warranty trade_mark redistribution attribution lizenz haftung offenlegung patente licencia responsabilidad autoría divulgación cláusula lizenzklausel urhebervermerk weitergabe offenlegungsfrist redistribución aviso_de_autoría",
-    "networking": "packet packets socket tcp udp http dns datagram handshake peer resolver router acknowledgement keep-alive request_header receive_window datagramm paketkopf portnummer verbindung datagrama conexión puerto paquete empfangsfenster namensdienst netzwerk servidor_de_nombres ventana_de_recepción ruta_de_red",
-    "process_memory": "heap thread threads mutex deadlock scheduler allocator stack_overflow guard_page freed_chunks waiter spinlock loader handle_table arena speicher halde montón hilo speicherseite faden sperre prozess zeitscheibe hilos bloqueo_mutuo proceso memoria_libre",
-    "statistics_research": "bootstrap resamples interval correlation regression variance hypothesis p-value slope calibration null_model effect_size random_matrix confusion_table nullhypothese stichprobe varianz hipótesis varianza muestra konfidenzintervall regressionskoeffizienten streuung matrixrang intervalo_de_confianza rango_de_la_matriz regresión",
-    "storage": "database b-tree btree transaction rollback journal write-ahead checkpoint savepoint row_lock page_cache query_plan table_catalog deleted_rows index_cursor zeilensperre bloqueo_de_fila índice tabla_de_páginas datenbank transaktion indexzeiger baumknoten seitencache diario transacción nodo_del_árbol",
-}
-
-_BREAK = re.compile(r"</?(?:p|li|ul|ol|td|tr|table|h\d|div|br|pre|blockquote)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[^>\n]{1,200}>")
-_LEAD = re.compile(r"^[ \t]*(?:>[ \t]*)*(?:#+[ \t]|\[\d{1,2}:\d{2}(?::\d{2})?\][ \t]*|\|[ \t]*\d+[ \t]*\||\|)?[ \t]*")
-_SENTENCE = re.compile(r"(?<=[.?!])[\"')\]]*\s+(?=\S)|\s+(?=- `)|(?<=[a-z])(?<!\.)\s+(?=\[\d\d:\d\d\])")
-_NAME = r"(?:[A-Za-z]\w*_\w+|[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+)"
-_LISTED = re.compile(rf"^\s*(?:[-*+•]\s*`?|`)({_NAME})`?\s+(?:[^\W\d_]+\s+){{1,3}}?`?({_NAME})`?(?=$|[\s.,;|])")
-_SYMBOL = re.compile(r"`[^`\n]{1,120}`|\b\w+_\w+\b|\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\b|\b0[xX][0-9a-fA-F]+\b|\b\d[\w.]*\b")
-_WORD = re.compile(r"[^\W\d_]+(?:[-'][^\W\d_]+)*")
-
-
-def statements(text: str | None) -> list[str]:
-    """Sentences, list lines and table rows of a whole text; headings and table heads are none."""
-    if not text:
-        return []
-    t = html.unescape(text) if "&" in text else text
-    if "<" in t:
-        t = _TAG.sub(" ", _BREAK.sub("\n", t))
-    out = []
-    for line in t.split("\n"):
-        if line.lstrip().startswith("#") or set(line.strip()) <= set("|-: "):
-            continue
-        line = _LEAD.sub("", line).strip().rstrip("|").strip()
-        while line:
-            m = _LISTED.match(line)
-            if m and m.end() < len(line):
-                out.append(line[: m.end()])
-                line = line[m.end() :].lstrip(" .,;|")
-                continue
-            parts = _SENTENCE.split(line, maxsplit=1)
-            out.append(parts[0])
-            line = parts[1].strip() if len(parts) > 1 else ""
-    return [x for x in out if x.strip(" |-")]
-
-
-def features(statement: str) -> list[str]:
-    """Words and word pairs, symbols and numbers left out; of a list line about a symbol, the words of the symbol."""
-    listed = _LISTED.match(statement)
-    out: dict[str, None] = {}
-    if listed and len(_WORD.findall(statement[listed.end() :])) == 0:
-        for w in listed[1].lower().split("_"):
-            if w and not w.isdigit():
-                out["sym:" + w] = None
-        return list(out)
-    words = [w.lower() for w in _WORD.findall(_SYMBOL.sub(" . ", statement))]
-    for w in words:
-        out[w] = None
-    for a, b in zip(words, words[1:], strict=False):
-        out[f"{a}_{b}"] = None
-    return list(out)
-
-
-def seeded(subjects: list[str]) -> dict[str, str]:
-    """Area of each seed feature; a word of several areas is none."""
-    found: dict[str, set[str]] = defaultdict(set)
-    for s in subjects:
-        for w in SEEDS.get(s, s.replace("_", " ")).split():
-            found[w].add(s)
-            if "_" not in w:
-                found["sym:" + w].add(s)
-    return {w: next(iter(s)) for w, s in found.items() if len(s) == 1}
 
+def features(types: DataFrame) -> DataFrame:
+    """(tid, fid, symbol): the words and word pairs of each kind's shape, and the words of its symbols, as hashes."""
+    words = F.regexp_extract_all("shape", F.lit(_WORD), 1)
+    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    syms = F.filter(F.split("symbols", "_"), lambda x: (x != "") & ~x.rlike(r"^\d+$"))
+    both = F.concat(F.transform(F.array_distinct(F.concat("w", pairs)), lambda x: F.struct(F.xxhash64(x).alias("fid"), F.lit(False).alias("symbol"))), F.transform(F.array_distinct(syms), lambda x: F.struct(F.xxhash64(F.concat(F.lit("\u0001"), x)).alias("fid"), F.lit(True).alias("symbol"))))
+    return types.withColumn("w", words).select("tid", F.explode(both).alias("f")).select("tid", "f.fid", "f.symbol")
 
-#: Weight, in documents, of the even distribution that a feature's areas are drawn to, and the share that makes it tell an area.
-SHRINK, TELLING = 2.0, 0.55
 
+def _sums(k: int, area: str, value: str) -> Column:
+    """Aggregate: the sums of ``value`` by area, as an array."""
+    return F.array(*[F.coalesce(F.sum(F.when(F.col(area) == i, F.col(value))), F.lit(0.0)) for i in range(k)])
 
-class Words:
-    """What each feature says about areas, as log odds over an even share; all zero for features that tell none.
 
-    Words of general remarks and of phrases that any area uses are spread evenly over
-    areas and tell none, in whatever language; a statement is of an area only through
-    features that tell one.
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+
+
+def learned(masses: DataFrame, base: np.ndarray) -> DataFrame:
+    """(fid, odds): what each feature says about areas, as log odds over an even share; only features that tell one.
+
+    ``masses`` has (fid, area, m), the areas of the documents that hold a feature.  Features
+    of general remarks and of phrases that any area uses are spread evenly and tell none,
+    in whatever language.
     """
+    k = len(base)
+    held = masses.groupBy("fid").agg(_sums(k, "area", "m").alias("m"))
+    rate = F.zip_with("m", F.array(*[F.lit(float(b)) for b in base]), lambda m, b: m / b)  # areas of many documents do not tell more
+    x = held.select("fid", rate.alias("r"), _total(F.col("m")).alias("n")).filter("n > 0").withColumn("sum", _total(F.col("r")))
+    q = x.select("fid", F.transform("r", lambda r: (r * F.col("n") / F.col("sum") + SHRINK / k) / (F.col("n") + SHRINK)).alias("q"))
+    return q.filter(F.array_max("q") >= TELLING).select("fid", F.transform("q", lambda v: F.log(v * k)).alias("odds"))
+
+
+def _softmax(x: Column) -> Column:
+    raw = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
+    return F.transform(raw, lambda v: v / _total(raw))
+
 
-    def __init__(self, names: list[str], odds: np.ndarray) -> None:
-        self.at, self.odds = {f: i for i, f in enumerate(names)}, odds
-        self.known: dict[tuple[str, ...], tuple[np.ndarray, bool]] = {}
-
-    def __getstate__(self) -> tuple:
-        told = np.flatnonzero(self.odds.any(axis=1))
-        return (list(self.at), told, self.odds[told].astype(np.float32), self.odds.shape)
-
-    def __setstate__(self, state: tuple) -> None:
-        names, told, rows, shape = state
-        odds = np.zeros(shape)
-        odds[told] = rows
-        self.__init__(names, odds)
-
-    @classmethod
-    def learned(cls, names: list[str], counts: np.ndarray, base: np.ndarray, seeds: dict[int, int]) -> Words:
-        """From the areas of the documents that hold each feature; ``seeds`` are features of known areas."""
-        rate = counts / base  # areas of many documents do not tell more
-        rate *= counts.sum(axis=1, keepdims=True) / np.maximum(rate.sum(axis=1, keepdims=True), 1e-9)
-        q = (rate + SHRINK / counts.shape[1]) / (rate.sum(axis=1, keepdims=True) + SHRINK)
-        for i, area in seeds.items():
-            if counts[i].sum() < 5 or q[i].argmax() == area:
-                q[i] = 0.1 / max(1, q.shape[1] - 1)
-                q[i, area] = 0.9
-        odds = np.where(q.max(axis=1, keepdims=True) >= TELLING, np.log(q * q.shape[1]), 0.0)
-        return cls(names, odds)
-
-    def statement(self, s: list[str]) -> tuple[np.ndarray, bool]:
-        """Posterior over areas from a statement's own features, and whether any tells; statements recur, so some are kept."""
-        key = tuple(s)
-        found = self.known.get(key)
-        if found is None:
-            n = [self.at[f] for f in s if f in self.at]
-            x = self.odds[n].sum(axis=0) if n else np.zeros(self.odds.shape[1])
-            told = bool(np.any(x != 0))
-            x = np.exp(x - x.max()) if len(x) else x
-            if len(self.known) >= 100_000:
-                self.known.clear()
-            found = self.known[key] = (x / max(x.sum(), 1e-300), told)
-        return found
-
-    def document(self, doc: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Area posteriors of the statements (zero where nothing tells), and the document's shares of areas."""
-        post = np.zeros((len(doc), self.odds.shape[1]))
-        for i, s in enumerate(doc):
-            p, told = self.statement(s)
-            if told:
-                post[i] = p
-        whole = post.sum(axis=0)
-        # an area of one statement alone is a remark
-        strong = np.where(whole >= 1.5, whole, 0.0)
-        strong = strong if strong.any() else whole
-        return post, strong / max(strong.sum(), 1e-9) if strong.any() else strong
+def posteriors(held: DataFrame, odds: DataFrame, k: int) -> DataFrame:
+    """(tid, p, word, symbol): posterior over areas of each kind that anything tells of, and the areas its words and its symbols alone tell (null if none, OPEN if words leave open which)."""
+    joined = held.join(odds, "fid")
+    sums = [F.sum(F.when(F.col("symbol") == side, F.get("odds", F.lit(i))).otherwise(0.0)).alias(f"{name}{i}") for name, side in (("w", False), ("s", True)) for i in range(k)]
+    got = joined.groupBy("tid").agg(*sums, F.bool_or(~F.col("symbol")).alias("has_w"), F.bool_or("symbol").alias("has_s"))
+    w, s = F.array(*[F.col(f"w{i}") for i in range(k)]), F.array(*[F.col(f"s{i}") for i in range(k)])
+    top = lambda x: F.array_position(x, F.array_max(x)) - 1
+    arrays = got.select("tid", w.alias("w"), s.alias("s"), "has_w", "has_s").withColumn("x", F.zip_with("w", "s", lambda a, b: a + b))
+    return arrays.select("tid", _softmax(F.col("x")).alias("p"), F.when(F.col("has_w"), F.when(F.array_max(_softmax(F.col("w"))) >= FIRM, top(F.col("w"))).otherwise(OPEN)).cast("int").alias("word"), F.when(F.col("has_s"), top(F.col("s"))).cast("int").alias("symbol"))
+
+
+def _spread_out(p: DataFrame) -> DataFrame:
+    """(tid, area, p) of the posteriors that count."""
+    return p.select("tid", F.posexplode("p").alias("area", "p")).filter(F.col("p") > NEGLIGIBLE)
+
+
+def document_areas(rows: DataFrame, sparse: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(doc_id, area, share) of the documents whose words tell areas; half of a labelled document is its label's.
+
+    An area of one statement alone is a remark, unless the document has no other.
+    """
+    whole = rows.join(sparse, "tid").groupBy("doc_id", "area").agg(F.sum("p").alias("n"))
+    lists = whole.groupBy("doc_id").agg(F.collect_list(F.struct("area", "n")).alias("a"))  # one entry an area
+    strong = F.filter("a", lambda x: x["n"] >= REMARK)
+    kept = lists.select("doc_id", F.when(F.size(strong) > 0, strong).otherwise(F.col("a")).alias("a"))
+    shares = kept.select("doc_id", F.explode("a").alias("x"), F.aggregate("a", F.lit(0.0), lambda t, x: t + x["n"]).alias("t")).select("doc_id", "x.area", (F.col("x.n") / F.col("t")).alias("share"))
+    known = labelled.select("doc_id", F.lit(0.5).alias("_half"))
+    halved = shares.join(F.broadcast(known), "doc_id", "left").select("doc_id", "area", (F.col("share") * F.coalesce("_half", F.lit(1.0))).alias("share"))
+    return halved.unionByName(labelled.select("doc_id", "area", F.lit(0.5).alias("share")))
 
 
 ABSTAIN = -1
-#: Share of the posterior from which the words of a statement settle its area.
-FIRM = 0.9
-
-
-def votes(words: Words, doc: list[list[str]], source_area: int) -> np.ndarray:
-    """(lexicon, address, section, source) votes of each statement: 0 for a general remark, area number + 1, or ABSTAIN."""
-    post, _ = words.document(doc)
-    out = np.full((len(doc), 4), ABSTAIN, np.int64)
-    whole = post.sum(axis=0)
-    for i, s in enumerate(doc):
-        told = post[i].any()
-        address = bool(s) and s[0].startswith("sym:")
-        if told:
-            out[i, 1 if address else 0] = 1 + int(post[i].argmax())
-        elif s and not address:
-            out[i, 0] = 0
-        # section and source are asked where the words tell an area but leave open of which;
-        # a clear remark on another area stays one
-        if told and post[i].max() < FIRM:
-            rest = whole - post[i]
-            if rest.max() >= 1.5:
-                out[i, 2] = 1 + int(np.argmax(np.where(rest >= 0.4 * rest.max(), rest * post[i], 0)))
-            out[i, 3] = source_area
-    return out
+FUNCTIONS = ("lexicon", "address", "section", "source")
 
 
 class Trust:
     """A latent class behind the votes of a statement; how often each function hits it is learned from agreement.
 
-    Whether a function votes at all says nothing; what it votes, if it does, hits the
-    class with its own accuracy.  Accuracies start from expectations that weigh as
-    much as ``START`` statements.
+    A class is an area together with whether the statement treats it or is a general
+    remark among statements that do.  What a section or source treats says of which area
+    a statement is, not whether it is a general remark, so their votes have the same
+    rates in both; those of lexicon and address differ.  Whether a function votes at all
+    says nothing.  Rates start from expectations that weigh as much as ``START`` statements.
     """
 
     START = 50.0
-
-    def __init__(self, classes: int) -> None:
-        self.k = classes
-        self.prior = np.array([0.5] + [0.5 / (classes - 1)] * (classes - 1))
-        #: P(votes the area), P(votes none) on statements of an area, and P(votes none) on general remarks; the rest errs evenly.
-        self.first = np.array([[0.95, 0.03, 0.97], [0.93, 0.02, 0.5], [0.8, 0.0, 0.0], [0.2, 0.0, 0.0]])
+    #: Functions whose votes tell a statement of an area from a general remark.
+    OWN = (0, 1)
+
+    def __init__(self, areas: int) -> None:
+        self.k = areas
+        self.prior = np.full((2, areas), 0.5 / max(areas, 1))
+        #: P(votes the area) and P(votes none), first on statements of an area, then on general remarks around them; the rest errs evenly.
+        self.first = np.array([[[0.95, 0.03], [0.0, 0.97]], [[0.93, 0.02], [0.0, 0.5]], [[0.8, 0.0], [0.8, 0.0]], [[0.2, 0.0], [0.2, 0.0]]])
+        self.first[list(self.OWN), 1, 0] = (1 - self.first[list(self.OWN), 1, 1]) / max(areas, 1)
         self.rate = self.first.copy()
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        x = np.tile(np.log(self.prior), (len(patterns), 1))
-        classes = np.arange(self.k)[None, :]
+        """(pattern, treated 0 or general 1, area)."""
+        x = np.tile(np.log(self.prior), (len(patterns), 1, 1))
+        areas = np.arange(1, self.k + 1)[None, :]
         for j in range(patterns.shape[1]):
             v = patterns[:, j : j + 1]
-            hit, none, right = np.clip(self.rate[j], 1e-4, 1 - 1e-4)
-            wrong = max(1 - hit - none, 1e-4) / max(1, self.k - 2)
-            p = np.where(v == 0, none, np.where(v == classes, hit, wrong))
-            p[:, 0] = np.where(v[:, 0] == 0, right, (1 - right) / (self.k - 1))
-            x += np.where(v == ABSTAIN, 0.0, np.log(p))
-        x = np.exp(x - x.max(axis=1, keepdims=True))
-        return x / x.sum(axis=1, keepdims=True)
+            for c in (0, 1):
+                hit, none = np.clip(self.rate[j, c], 1e-4, 1 - 1e-4)
+                wrong = max(1 - hit - none, 1e-4) / max(1, self.k - 1)
+                p = np.where(v == 0, none, np.where(v == areas, hit, wrong))
+                x[:, c] += np.where(v == ABSTAIN, 0.0, np.log(p))
+        x = np.exp(x - x.max(axis=(1, 2), keepdims=True))
+        return x / x.sum(axis=(1, 2), keepdims=True)
 
     def fit(self, patterns: np.ndarray, n: np.ndarray, rounds: int = 25) -> Trust:
         """From distinct vote patterns and how many statements have each."""
-        if not len(patterns):
+        voted = (patterns != ABSTAIN).any(axis=1) if len(patterns) else np.zeros(0, bool)
+        if not voted.any():
             return self
-        voted = (patterns != ABSTAIN).any(axis=1)
         for _ in range(rounds):
-            post = self.posterior(patterns) * n[:, None]
-            self.prior = (post[voted].sum(axis=0) + 1) / (post[voted].sum() + self.k)
+            post = self.posterior(patterns) * n[:, None, None]
+            self.prior = (post[voted].sum(axis=0) + 1) / (post[voted].sum() + 2 * self.k)
             for j in range(patterns.shape[1]):
                 v = patterns[:, j]
-                areas = post[v != ABSTAIN, 1:].sum()
-                right = sum(post[v == c, c].sum() for c in range(1, self.k))
-                seen = np.array([right, post[v == 0, 1:].sum()])
-                self.rate[j, :2] = (seen + self.START * self.first[j, :2]) / (areas + self.START)
-                self.rate[j, 2] = (post[v == 0, 0].sum() + self.START * self.first[j, 2]) / (post[v != ABSTAIN, 0].sum() + self.START)
+                seen = np.array([[sum(post[v == a, c, a - 1].sum() for a in range(1, self.k + 1)), post[v == 0, c].sum(), post[v != ABSTAIN, c].sum()] for c in (0, 1)])
+                if j not in self.OWN:
+                    seen[:] = seen.sum(axis=0)
+                self.rate[j] = (seen[:, :2] + self.START * self.first[j]) / (seen[:, 2:] + self.START)
+                if j in self.OWN:  # on general remarks they err evenly: a vote for the area around is no error of theirs
+                    self.rate[j, 1, 0] = (1 - self.rate[j, 1, 1]) / self.k
         return self
 
 
-def _documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, statements) with the features of each statement."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [[features(s) for s in statements(t)] for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.list_(pa.string())))], ["doc_id", "source", "statements"])
-
-    shown = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name(F.col("source")).alias("source"), "text").filter("doc_id is not null and text is not null")
-    return spread(shown, "doc_id").mapInArrow(make, "doc_id bigint, source string, statements array<array<string>>")
-
-
-def _round(docs: DataFrame, words: Words, labelled: dict[int, int] | None = None) -> DataFrame:
-    """One round over all documents: how many documents of each area hold each feature (kind 0), and each source (kind 1).
+def votes(rows: DataFrame, types: DataFrame, post: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """(doc_id, v0 .. v3, n): the votes of lexicon, address, section and source on the statements of each document.
 
-    In the first round the hand labels count as well as the words.
+    0 is a vote for a general remark, area + 1 one for an area, ABSTAIN none.  ``rows`` has
+    (doc_id, section, tid, n), ``places`` (doc_id, section, whole, source_vote) with the sums
+    of posteriors of a section.
     """
-    held = docs.sparkSession.sparkContext.broadcast((words, labelled or {}))
-    k = words.odds.shape[1]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, known = held.value
-        total, by_source, base = np.zeros((len(w.at), k)), defaultdict(lambda: np.zeros(k)), np.zeros(k)
-        for batch in batches:
-            for id_, source, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                _, areas = w.document(doc)
-                if id_ in known:
-                    areas = 0.5 * areas
-                    areas[known[id_]] += 0.5
-                if areas.any():
-                    total[[w.at[f] for f in {f for s in doc for f in s} if f in w.at]] += areas
-                    base += areas
-                    if source is not None:
-                        by_source[source] += areas
-        some = np.flatnonzero(total.sum(axis=1) > 0)
-        rows = [(0, int(i), None, total[i].tolist()) for i in some] + [(1, None, s, v.tolist()) for s, v in by_source.items()] + [(2, None, None, base.tolist())]
-        for a in range(0, len(rows), 10_000):
-            part = list(zip(*rows[a : a + 10_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.string()), pa.array(part[3], pa.list_(pa.float64()))], ["kind", "feature", "source", "v"])
-
-    raw = docs.mapInArrow(count, "kind int, feature bigint, source string, v array<double>")
-    return cut(raw.groupBy("kind", "feature", "source").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(k)]).alias("v")))
-
-
-def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame, least: int = STATEMENTS) -> tuple[DataFrame, DataFrame]:
-    """Areas (doc_id, subject, statements) and how each labelling function fared (function, hit, none, right_none).
-
-    ``documents`` has (doc_id, text, source), ``subjects`` the column subject, ``labels``
-    (doc_id, subject), of which at most MAX_LABELLED, chosen by hash, are used.  Null,
-    blank and short texts have no area.  Without labels the seed words alone start the
-    rounds.  The number of areas is bounded by 1,000.
+    t = types.join(post, "tid", "left")
+    has_words, has_symbols = F.col("shape") != "", F.col("symbols") != ""
+    lexicon = F.when(F.col("word") == OPEN, ABSTAIN).when(F.col("word").isNotNull(), F.col("word") + 1).when(has_words, 0).otherwise(ABSTAIN)
+    address = F.when(F.col("listed") & F.col("symbol").isNotNull(), F.col("symbol") + 1).when(F.col("listed") & has_symbols, 0).otherwise(ABSTAIN)
+    t = t.select("tid", lexicon.alias("v0"), address.alias("v1"), F.coalesce("p", F.array(*[F.lit(0.0)] * k)).alias("p"))
+    each = rows.join(t, "tid").join(places, ["doc_id", "section"], "left")
+    rest = F.zip_with("whole", "p", lambda a, b: a - b)
+    section = F.when(F.size(F.filter(rest, lambda x: x >= REMARK)) == 1, F.array_position(rest, F.array_max(rest))).otherwise(ABSTAIN)
+    each = each.withColumn("v2", F.coalesce(section, F.lit(ABSTAIN)).cast("int")).withColumn("v3", F.coalesce("source_vote", F.lit(ABSTAIN)))
+    return each.groupBy("doc_id", "v0", "v1", "v2", "v3").agg(F.sum("n").alias("n"))
+
+
+def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame, least: int = STATEMENTS, without: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Areas (doc_id, subject, statements) and how each labelling function fared (function, hit, none, right_none: its rates on statements of an area, and of no vote on general remarks).
+
+    ``documents`` has (doc_id, text, source), ``subjects`` (subject, scope), scope may be
+    absent, ``labels`` (doc_id, subject), of which at most MAX_LABELLED, chosen by hash, are
+    used.  Null, blank and short texts have no area.  Without labels the descriptions of
+    the areas alone start the rounds.  At most MAX_SUBJECTS areas.  ``without`` names
+    labelling functions that are left out.
     """
     spark = documents.sparkSession
-    names = sorted({r[0] for r in subjects.select("subject").filter("subject is not null").distinct().limit(1_000).collect()})
-    k = len(names) + 1
+    listed = [r[0] for r in subjects.select("subject").filter("subject is not null").distinct().limit(MAX_SUBJECTS + 1).collect()]
+    if len(listed) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} areas")
+    names = sorted(listed)
+    k = len(names)
     if not names:
         return spark.createDataFrame([], "doc_id bigint, subject string, statements bigint"), spark.createDataFrame([], "function string, hit double, none double, right_none double")
-    docs = cut(_documents(documents))
+    number = F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.lit(i))])
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name(F.col("source")).alias("source"), "text").filter("doc_id is not null and text is not null")
+    said = kinds(statements(spread(docs, "doc_id"), "text")).withColumn("tid", F.xxhash64("shape", "symbols", "listed"))
+    rows = cut(said.groupBy("doc_id", "source", "section", "tid", "shape", "symbols", "listed").agg(F.count("*").alias("n")))
+    types = cut(rows.select("tid", "shape", "symbols", "listed").distinct())
+    held = cut(features(types))
     # the bounded sample of labels, one per document, in the order of a hash
-    sample = labels.filter(F.col("subject").isin(names)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("subject").alias("subject")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    labelled = {r["doc_id"]: names.index(r["subject"]) for r in sample.collect()}
-    counted = docs.select(F.explode(F.array_distinct(F.flatten("statements"))).alias("f")).groupBy("f").agg(F.count("*").alias("n"))
-    table = [r["f"] for r in counted.filter("n >= 2").orderBy(F.desc("n"), "f").limit(MAX_FEATURES).select("f").collect()]
-    at = {f: i for i, f in enumerate(table)}
-    seeds = {at[f]: names.index(s) for f, s in seeded(names).items() if f in at}
-    words = Words.learned(table, np.zeros((len(table), k - 1)), np.ones(k - 1), seeds)
-    by_source: dict[str, list[float]] = {}
+    sample = labels.filter(F.col("subject").isin(names)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("subject").alias("subject")).filter("doc_id is not null")
+    labelled = cut(sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).select("doc_id", number[F.col("subject")].alias("area")))
+    pairs = rows.select("doc_id", "tid")
+
+    def masses(areas: DataFrame) -> tuple[DataFrame, np.ndarray]:
+        base = np.ones(k)
+        for r in areas.groupBy("area").agg(F.sum("share").alias("s")).collect():
+            base[r["area"]] += r["s"]
+        by_type = pairs.join(areas, "doc_id").groupBy("tid", "area").agg(F.sum("share").alias("m"))
+        return held.join(by_type, "tid").groupBy("fid", "area").agg(F.sum("m").alias("m")), base / base.mean()
+
+    scope = F.concat_ws(". ", F.translate("subject", "_", " "), *(["scope"] if "scope" in subjects.columns else []))
+    about = subjects.filter("subject is not null").select(number[F.col("subject")].alias("area"), scope.alias("text"))
+    about = features(kinds(statements(about, "text")).withColumn("tid", F.col("area"))).select("fid", F.col("tid").cast("int").alias("area"), F.lit(1.0).alias("m"))
+    mass, base = masses(labelled.select("doc_id", "area", F.lit(1.0).alias("share")))
+    odds = cut(learned(mass.unionByName(about), base))
     for i in range(ROUNDS):
-        sums = _round(docs, words, labelled if i == 0 else None)
-        counts, base = np.zeros((len(table), k - 1)), np.ones(k - 1)
-        for r in sums.filter("kind = 0").select("feature", "v").toLocalIterator():
-            counts[r["feature"]] = r["v"]
-        for r in sums.filter("kind = 2").collect():
-            base = np.array(r["v"]) + 1
-        by_source = {r["source"]: r["v"] for r in sums.filter("kind = 1").orderBy("source").limit(10_000).collect()}
-        words = Words.learned(table, counts, base / base.mean(), seeds)
-    # a source votes for an area that it treats at least twice as often as an even share
-    areas = {s: 1 + int(np.argmax(v)) for s, v in by_source.items() if max(v) > 2 * sum(v) / len(v)}
-    held, held_areas = spark.sparkContext.broadcast(words), areas
-
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = held.value
-        for batch in batches:
-            out = Counter()
-            for id_, source, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for v in votes(w, doc, held_areas.get(source, ABSTAIN)).tolist():
-                    out[(id_, *v)] += 1
-            part = list(zip(*((*key, m) for key, m in out.items()), strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in part], ["doc_id", "v0", "v1", "v2", "v3", "n"])
-
-    cast = cut(docs.mapInArrow(vote, "doc_id bigint, v0 bigint, v1 bigint, v2 bigint, v3 bigint, n bigint"))
+        post = cut(posteriors(held, odds, k))
+        areas = cut(document_areas(pairs, _spread_out(post), labelled))
+        if i == ROUNDS - 1:
+            break
+        mass, base = masses(areas)
+        odds_next = cut(learned(mass, base))
+        drop(odds, post, areas)
+        odds = odds_next
+    # a source votes for an area that it treats at least twice as often as an even share; a source of few documents has the area of each by itself
+    by_source = areas.join(rows.select("doc_id", "source").distinct(), "doc_id").filter("source is not null").groupBy("source").agg(_sums(k, "area", "share").alias("v"))
+    source = by_source.filter(F.array_max("v") + SOURCE / k > (_total(F.col("v")) + SOURCE) * (2.0 / k)).select("source", F.array_position("v", F.array_max("v")).cast("int").alias("source_vote"))
+    whole = rows.join(_spread_out(post), "tid").groupBy("doc_id", "section", "source", "area").agg(F.sum(F.col("p") * F.col("n")).alias("m")).groupBy("doc_id", "section", "source").agg(_sums(k, "area", "m").alias("whole"))
+    places = whole.join(source, "source", "left").select("doc_id", "section", "whole", "source_vote")
+    cast = cut(votes(rows.select("doc_id", "section", "tid", "n"), types, post, places, k))
+    v = [f"v{j}" for j in range(len(FUNCTIONS))]
+    for j, f in enumerate(FUNCTIONS):
+        if f in without:
+            cast = cast.withColumn(v[j], F.lit(ABSTAIN))
     # as many patterns as there are combinations of classes at most
-    v = ["v0", "v1", "v2", "v3"]
     seen = cast.groupBy(*v).agg(F.sum("n").alias("n")).orderBy(*v).collect()
-    patterns = np.array([[r[c] for c in v] for r in seen], np.int64).reshape(len(seen), 4)
+    patterns = np.array([[r[c] for c in v] for r in seen], np.int64).reshape(len(seen), len(v))
     trust = Trust(k).fit(patterns, np.array([r["n"] for r in seen], float))
-    post = trust.posterior(patterns) if len(seen) else np.zeros((0, k))
-    decided = [(*map(int, p), int(q.argmax())) for p, q in zip(patterns.tolist(), post, strict=True) if q.argmax() > 0 and q.max() > 0.5]
-    says = spark.createDataFrame(decided, "v0 bigint, v1 bigint, v2 bigint, v3 bigint, area int")
-    label = F.array(*[F.lit(s) for s in names]) if names else F.array().cast("array<string>")
+    treated = trust.posterior(patterns)[:, 0] if len(seen) else np.zeros((0, k))
+    decided = [(*map(int, p), 1 + int(q.argmax())) for p, q in zip(patterns.tolist(), treated, strict=True) if q.max() > 0.5]
+    says = spark.createDataFrame(decided, ", ".join(f"{c} int" for c in v) + ", area int")
+    label = F.array(*[F.lit(s) for s in names])
     found = cast.join(F.broadcast(says), v).groupBy("doc_id", "area").agg(F.sum("n").alias("statements")).filter(F.col("statements") >= least)
-    fared = [(f, *map(float, trust.rate[j])) for j, f in enumerate(("lexicon", "address", "section", "source"))]
+    fared = [(f, *map(float, (*trust.rate[j, 0], trust.rate[j, 1, 1]))) for j, f in enumerate(FUNCTIONS)]
     return found.select("doc_id", F.element_at(label, F.col("area")).alias("subject"), "statements"), spark.createDataFrame(fared, "function string, hit double, none double, right_none double")

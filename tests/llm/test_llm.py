@@ -214,36 +214,87 @@ def test_mixture(spark):
     assert [tuple(r) for r in spark.createDataFrame([(" Naming-Note ",), ("",), (None,)], "s string").select(mixing.source_name(F.col("s"))).collect()] == [("naming_note",), (None,), (None,)]
 
 
-def test_statements():
-    text = "# Title\n\nA b c. D e f!\n- `x_y` called from FUN_1a2b The next one.\n| item | remark |\n|---|---|\n| 1 | row text. |\n[10:20] log line"
-    assert subjects.statements(text) == ["A b c.", "D e f!", "- `x_y` called from FUN_1a2b", "The next one.", "item | remark", "row text.", "log line"]
-    assert subjects.statements(None) == [] and subjects.features("- `pcm_load` called from GetRing") == ["sym:pcm", "sym:load"]
-
-
-def test_subjects_by_held_out_truth(spark):
-    rng = random.Random(4)
-    nouns = {"storage": ["rollback journal", "savepoint stack", "page cache"], "networking": ["packet header", "receive window", "proxy handshake"]}
+def test_statements(spark):
+    text = "# Title\n\nA b c. D e f!\n- `x_y` called from FUN_1a2b The next one.\n| item | remark |\n|---|---|\n| 1 | row text. |\n# Next\n[10:20] log line &amp; more"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "- `pcm_load` called from GetRing"), (5, "Was ruft 0x12 in pcm_load auf?")], "id bigint, text string")
+    got = [tuple(r) for r in subjects.statements(rows, "text").orderBy("id", "section").collect()]
+    assert got[:7] == [(1, 1, s) for s in ("A b c.", "D e f!", "- `x_y` called from FUN_1a2b", "The next one.", "item | remark", "row text.")] + [(1, 2, "log line & more")]
+    kinds = {r["id"]: (r["shape"], r["symbols"], r["listed"]) for r in subjects.kinds(subjects.statements(rows, "text")).filter("id > 3").collect()}
+    assert kinds == {4: ("", "pcm_load", True), 5: ("was ruft in auf", "pcm_load", False)}
+
+
+def _areas_world(seed, n):
+    """Documents of known areas; each labelling function alone decides some of them."""
+    rng = random.Random(seed)
+    nouns = {"storage": ["rollback journal", "savepoint stack", "page cache"], "networking": ["packet header", "receive window", "proxy handshake"], "sound": ["gain ramp", "voice channel", "echo buffer"]}
+    symbols = {"storage": "txn", "networking": "sock", "sound": "pcm"}
     general = ["Coverage stays low here.", "Nothing else was seen.", "Size is as expected."]
+    say = lambda a: f"The branch guards the {rng.choice(nouns[a])}."
     rows, truth = [], {}
-    for i in range(400):
+    for i in range(n):
         area = rng.choice([*nouns, None])
-        n = rng.randrange(3, 7) if area else 0
-        lines = [f"The branch guards the {rng.choice(nouns[area])}." for _ in range(n)] + [rng.choice(general) for _ in range(4)]
-        if area:
-            other = next(a for a in nouns if a != area)
-            lines.append(f"The branch guards the {rng.choice(nouns[other])}.")
+        other = rng.choice([a for a in nouns if a != area])
+        kind, source = rng.choice(["words", "symbols", "section", "source"]), "mixed"
+        lines = []
+        if area and kind == "words":
+            lines = [say(area) for _ in range(rng.randrange(3, 7))] + [say(other)]
+        elif area and kind == "symbols":
+            lines = [f"- `{symbols[area]}_load` called from GetRing" for _ in range(4)]
+        elif area and kind == "section":
+            # words of two areas: the rest of the section tells which
+            lines = [say(area), say(area)] + [f"The {rng.choice(nouns[area])} meets the {rng.choice(nouns[other])}." for _ in range(2)]
+        elif area:
+            source = f"{area}_notes"
+            lines = [f"The {rng.choice(nouns[area])} meets the {rng.choice(nouns[other])}." for _ in range(4)] if i % 3 == 0 else [say(area) for _ in range(4)]
+        lines += [rng.choice(general) for _ in range(3)]
         rng.shuffle(lines)
-        rows.append((i, " ".join(lines), "s"))
-        truth[i] = {area} if area else set()
-    rows += [(900, None, "s"), (901, "", None)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    areas = spark.createDataFrame([(a,) for a in nouns], "subject string")
-    labels = spark.createDataFrame([(i, next(iter(truth[i]))) for i in range(60) if truth[i]], "doc_id bigint, subject string")
-    got = {i: set() for i in truth}
-    for r in subjects.subject_areas(docs, areas, labels)[0].collect():
-        got[r["doc_id"]].add(r["subject"])
-    assert sum(got[i] == truth[i] for i in truth) / len(truth) > 0.97
+        rows.append((i, "\n".join(lines), source))
+        truth[i] = ({area} if area else set(), kind if kind != "source" or i % 3 == 0 else "words")
+    # two statements are no area, whatever general remarks surround them
+    for i in range(n, n + n // 9):
+        area = rng.choice([*nouns])
+        rows.append((i, "\n".join([say(area), say(area), *general]), "mixed"))
+        truth[i] = (set(), "few")
+    return rows, truth, nouns
+
+
+def test_subjects_need_every_function_and_no_seed_list(spark):
+    rows, truth, nouns = _areas_world(4, 900)
+    docs = spark.createDataFrame([*rows, (9000, None, "s"), (9001, "", None)], "doc_id bigint, text string, source string")
+    areas = spark.createDataFrame([(a, None) for a in nouns], "subject string, scope string")
+    labels = spark.createDataFrame([(i, next(iter(truth[i][0]))) for i in range(120) if truth[i][0]], "doc_id bigint, subject string")
+
+    def right(without=(), label=labels, documents=docs):
+        got = {i: set() for i in truth}
+        for r in subjects.subject_areas(documents, areas, label, without=without)[0].collect():
+            got[r["doc_id"]].add(r["subject"])
+        shown = {}
+        for i, (want, kind) in truth.items():
+            if (want and i >= 120) or kind == "few":
+                shown.setdefault(kind, []).append(got[i] == want)
+        none = [not got[i] for i, (want, _) in truth.items() if not want]
+        return {k: sum(v) / len(v) for k, v in shown.items()} | {"none": sum(none) / len(none)}
+
+    full = right()
+    assert all(v > 0.95 for v in full.values()), full
+    for function, kind in (("lexicon", "few"), ("address", "symbols"), ("section", "section"), ("source", "source")):
+        assert right((function,))[kind] < full[kind] - 0.2, function
+    # the areas come from the labels: under other labels they are other areas
+    turned = dict(zip(nouns, [*list(nouns)[1:], list(nouns)[0]], strict=True))
+    swap = F.create_map(*[F.lit(x) for p in turned.items() for x in p])
+    assert right(label=labels.withColumn("subject", swap[F.col("subject")]))["words"] < 0.05
     assert subjects.subject_areas(docs.limit(0), areas, labels.limit(0))[0].count() == 0
+    assert subjects.subject_areas(docs, areas.limit(0), labels)[0].count() == 0
+
+
+def test_descriptions_start_the_areas_without_labels(spark):
+    rows, truth, nouns = _areas_world(5, 400)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    areas = spark.createDataFrame([("storage", "Journals, the page cache, savepoint stack."), ("networking", "Packet header, receive window."), ("sound", "Voice channel and gain ramp.")], "subject string, scope string")
+    none = spark.createDataFrame([], "doc_id bigint, subject string")
+    got = {(r["doc_id"], r["subject"]) for r in subjects.subject_areas(docs, areas, none)[0].collect()}
+    want = {(i, a) for i, (w, kind) in truth.items() for a in w if kind == "words"}
+    assert len(got & want) > 0.9 * len(want)
 
 
 def test_every_text_has_a_class(spark):
