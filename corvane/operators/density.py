@@ -1,7 +1,7 @@
 """Density clusters of vectors: mutual reachability, a spanning tree, and the stablest branches.
 
-Exact for up to ``MAX_POINTS`` points, in one task; beyond that bisecting k-means
-over all points is fitted instead and says so in ``method``.
+Exact for up to ``MAX_POINTS`` points, in one task; more are refused, as another
+method would answer another question.
 """
 
 from __future__ import annotations
@@ -103,13 +103,8 @@ def labels_of(x: np.ndarray, min_size: int, min_samples: int) -> np.ndarray:
 def density_clusters(vectors: DataFrame, key: str, column: str, min_size: int = 200, min_samples: int = 10) -> DataFrame:
     """(key, cluster, method): cluster -1 is noise; null vectors are left out."""
     v = vectors.filter(F.col(column).isNotNull()).select(key, column)
-    if v.count() > MAX_POINTS:
-        from pyspark.ml.clustering import BisectingKMeans
-        from pyspark.ml.functions import array_to_vector
-
-        made = v.select(key, array_to_vector(F.col(column).cast("array<double>")).alias("features"))
-        model = BisectingKMeans(k=32, seed=42, minDivisibleClusterSize=min_size).fit(made)
-        return model.transform(made).select(key, F.col("prediction").alias("cluster"), F.lit("bisecting").alias("method"))
+    if v.limit(MAX_POINTS + 1).count() > MAX_POINTS:
+        raise ValueError(f"more than {MAX_POINTS} vectors; cluster parts of them, such as binaries, one by one")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 
 
-def mine(corpus: DataFrame, rounds: int = 8, per_round: int = 20, least: int = 2) -> DataFrame:
-    """(rule_id, count, expansion): rules in the order they were made, expanded to tokens.
+def mine(corpus: DataFrame, rules: int = 300, per_round: int = 20, least: int = 2) -> DataFrame:
+    """(rule_id, count, expansion): rules in the order they were made, expanded to tokens, until ``rules`` are made or no pair recurs.
 
     ``per_round`` pairs are replaced in a round, most frequent first, ties by text; a
     rule counts its uses when it was made.  Functions are separate streams.
@@ -23,22 +23,22 @@ def mine(corpus: DataFrame, rounds: int = 8, per_round: int = 20, least: int = 2
     spark = corpus.sparkSession
     stream = cut(corpus.filter(F.size("tokens") > 0).select("fn_id", F.array_join("tokens", " ").alias("t")))
     expansion: dict[str, list[str]] = {}
-    rules: list[tuple[int, int, list[str]]] = []
-    for _ in range(rounds):
+    made: list[tuple[int, int, list[str]]] = []
+    while len(made) < rules:
         tokens = F.split("t", " ")
         pairs = stream.filter(F.size(tokens) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.array_join(F.slice(tokens, i, 2), " "))).alias("p"))
-        top = pairs.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "p").limit(per_round).collect()
+        top = pairs.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "p").limit(min(per_round, rules - len(made))).collect()
         if not top:
             break
         text = F.concat(F.lit(" "), F.regexp_replace("t", " ", "  "), F.lit(" "))
         for r in top:
             a, b = r["p"].split(" ")
-            name = f"~{len(rules)}"
+            name = f"~{len(made)}"
             expansion[name] = [x for part in (a, b) for x in expansion.get(part, [part])]
-            rules.append((len(rules), r["n"], expansion[name]))
+            made.append((len(made), r["n"], expansion[name]))
             text = F.regexp_replace(text, rf" {_quoted(a)}  {_quoted(b)} ", f" {name} ")
         stream = cut(stream.select("fn_id", F.trim(F.regexp_replace(text, " +", " ")).alias("t")), stream)
-    return spark.createDataFrame(rules, "rule_id int, count bigint, expansion array<string>")
+    return spark.createDataFrame(made, "rule_id int, count bigint, expansion array<string>")
 
 
 def _quoted(token: str) -> str:

@@ -8,12 +8,17 @@ after the given number of rounds.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import entropy_of, ladder
 from ..plans.lineage import cut
 from ..plans.numbering import numbered
+from ..plans.skew import salted_join
 
 
 def internal(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -21,6 +26,14 @@ def internal(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
 
 
+def resolved(nodes: DataFrame, calls: DataFrame) -> DataFrame:
+    """(src, dst) of calls (src, label, addr): the node of the call's binary at its address, else the least node of any binary there, else null."""
+    own = nodes.select("label", "addr", F.col("node").alias("_own")).dropna()
+    anywhere = nodes.filter("addr is not null").groupBy("addr").agg(F.min("node").alias("_any"))
+    here = salted_join(calls, own, ["label", "addr"], F.col("src"), "left")
+    return salted_join(here, anywhere, ["addr"], F.col("src"), "left").select("src", F.coalesce("_own", "_any").alias("dst"))
+
+
 def callers(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -134,32 +147,79 @@ def condensation_rank(scc: DataFrame, edges: DataFrame) -> DataFrame:
             return rank
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
+#: Links and nodes up to which an iteration runs in one task; beyond, each round is joins over whole tables. Both give the same rows.
+LOCAL_LINKS = 500_000
+
+
+def _iterated(n: DataFrame, e: DataFrame, solve: Callable[[np.ndarray, np.ndarray, int], dict[str, np.ndarray]], columns: list[str]) -> DataFrame:
+    """(node, columns) from ``solve``(source, target, number of nodes) with nodes by index, in one task."""
+    kind = dict(n.dtypes)["node"]
+    rows = n.select(F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst")).unionByName(e.select("src", "dst")).coalesce(1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        both = pd.concat([pd.DataFrame({"src": [], "dst": []}), *batches])
+        own, links = both.loc[both["dst"].isna(), "src"], both[both["dst"].notna()]
+        names = pd.Index(own.sort_values())
+        src, dst = names.get_indexer(links["src"].astype(own.dtype)), names.get_indexer(links["dst"].astype(own.dtype))
+        known = (src >= 0) & (dst >= 0)
+        yield pd.DataFrame({"node": names.to_numpy(), **solve(src[known], dst[known], len(names))})
+
+    return rows.mapInPandas(run, f"node {kind}, " + ", ".join(f"{c} double" for c in columns))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance: float = 1e-6, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(node, rank) over distinct edges; the rank of nodes without a way out is spread evenly."""
     e = cut(edges.select("src", "dst").distinct())
-    n = nodes.select("node").distinct()
+    n = cut(nodes.select("node").distinct())
     count = n.count()
     if not count:
         return n.withColumn("rank", F.lit(0.0))
+    if e.count() + count <= local_links:
+
+        def solve(src: np.ndarray, dst: np.ndarray, k: int) -> dict[str, np.ndarray]:
+            out, rank = np.bincount(src, minlength=k), np.full(k, 1.0 / k)
+            for _ in range(rounds):
+                given = np.bincount(dst, rank[src] / out[src], minlength=k)
+                new = alpha * (given + rank[out == 0].sum() / k) + (1 - alpha) / k
+                change, rank = np.abs(new - rank).sum(), new
+                if change < k * tolerance:
+                    break
+            return {"rank": rank}
+
+        return _iterated(n, e, solve, ["rank"])
     out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"))
     state = cut(n.join(out, "node", "left").withColumn("rank", F.lit(1.0 / count)))
     for _ in range(rounds):
         loose = state.agg(F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("rank"))), F.lit(0.0))).first()[0]
         given = e.join(state.select(F.col("node").alias("src"), (F.col("rank") / F.col("k")).alias("g")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("g").alias("g"))
         new = F.lit(alpha) * (F.coalesce("g", F.lit(0.0)) + loose / count) + (1 - alpha) / count
-        nxt = cut(state.join(given, "node", "left").select("node", "k", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
+        nxt = cut(state.join(given, "node", "left").select("node", "k", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")), state)
         change = nxt.agg(F.sum("moved")).first()[0]
-        state = nxt.select("node", "k", "rank")
+        state = nxt
         if change < count * tolerance:
             break
     return state.select("node", "rank")
 
 
-def hits(nodes: DataFrame, edges: DataFrame, rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
-    """(node, hub, authority), each adding up to 1."""
+def hits(nodes: DataFrame, edges: DataFrame, rounds: int = 100, tolerance: float = 1e-8, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """(node, hub, authority), each adding up to 1, or 0 without edges."""
     e = cut(edges.select("src", "dst").distinct())
     n = cut(nodes.select("node").distinct())
     count = max(n.count(), 1)
+    if e.count() + count <= local_links:
+
+        def solve(src: np.ndarray, dst: np.ndarray, k: int) -> dict[str, np.ndarray]:
+            hub, authority = np.full(k, 1.0 / max(k, 1)), np.zeros(k)
+            for _ in range(rounds):
+                authority = np.bincount(dst, hub[src], minlength=k)
+                new = np.bincount(src, authority[dst], minlength=k)
+                authority, new = authority / (authority.sum() or 1.0), new / (new.sum() or 1.0)
+                change, hub = np.abs(new - hub).sum(), new
+                if change < tolerance:
+                    break
+            return {"hub": hub, "authority": authority}
+
+        return _iterated(n, e, solve, ["hub", "authority"])
     hub = n.withColumn("hub", F.lit(1.0 / count))
     state = None
     for _ in range(rounds):
@@ -301,23 +361,22 @@ def graph_rank(betweenness_: Column, size: Column, n_in: Column, noise: Column,
 def power_law(degree_counts: DataFrame) -> DataFrame:
     """(n, alpha, log_ratio) of a discrete power law fitted to non-zero degrees against an exponential; none below 20 degrees.
 
-    The histogram (degree, n) is small; the fit scans exponents on the driver.
+    Both likelihoods need three sums over the histogram (degree, n) only, whatever its size.
     """
     from math import exp, log
 
     spark = degree_counts.sparkSession
-    rows = [(int(r["degree"]), int(r["n"])) for r in degree_counts.filter("degree > 0").limit(1_000_000).collect()]
-    n = sum(c for _, c in rows)
-    if n < 20:
+    d, c = F.col("degree"), F.col("n")
+    n, logs, total = degree_counts.filter("degree > 0").agg(F.sum(c), F.sum(c * F.log(d.cast("double"))), F.sum(c * d)).first()
+    if (n or 0) < 20:
         return spark.createDataFrame([], "n bigint, alpha double, log_ratio double")
-    logs, mean = sum(c * log(d) for d, c in rows), sum(c * d for d, c in rows) / n
 
     def zeta(s: float) -> float:
         return sum(k**-s for k in range(1, 2_000)) + 2_000 ** (1 - s) / (s - 1)
 
     like, alpha = max((-(1.01 + i * 0.01) * logs - n * log(zeta(1.01 + i * 0.01)), 1.01 + i * 0.01) for i in range(500))
-    rate = log(1 + 1 / max(mean - 1, 1e-9))
-    other = sum(c * (log(1 - exp(-rate)) - rate * (d - 1)) for d, c in rows)
+    rate = log(1 + 1 / max(total / n - 1, 1e-9))
+    other = n * log(1 - exp(-rate)) - rate * (total - n)
     return spark.createDataFrame([(n, alpha, like - other)], "n bigint, alpha double, log_ratio double")
 
 

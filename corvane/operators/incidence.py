@@ -1,7 +1,8 @@
 """Geometry of incidence tables: which function reads which address.
 
-``reads`` has rows (fn, addr, size, first_step); repeated rows count once per function
-and address.  Addresses are bigint.
+``reads`` has rows (label, fn, addr, size); repeated rows count once per function and
+address.  Addresses are bigint and mean something within a binary only, so ``label`` is
+part of every key; clusters are numbered within their binary.
 """
 
 from __future__ import annotations
@@ -10,26 +11,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import entropy_of, ladder, upper_median
+from ..functions.exprs import entropy_of, ladder
 from ..plans.lineage import cut
 
 GAP = 0x1000
 
 
+#: Columns that tell binaries apart.
+BINARY = ["label"]
+
+
 def populations(reads: DataFrame) -> DataFrame:
-    """(addr, n_fns, size, median_step): functions that read an address, the greatest size, the upper median of first steps."""
-    return reads.groupBy("addr").agg(F.count_distinct("fn").alias("n_fns"), F.max("size").alias("size"), upper_median(F.col("first_step")).alias("median_step"))
+    """(label, addr, n_fns, size): functions that read an address, and the greatest size."""
+    return reads.groupBy(*BINARY, "addr").agg(F.count_distinct("fn").alias("n_fns"), F.max("size").alias("size"))
 
 
-def gap_clusters(addresses: DataFrame, gap: int = GAP, by: list[str] | None = None) -> DataFrame:
+def gap_clusters(addresses: DataFrame, gap: int = GAP, by: list[str] | None = None, block_bits: int = 20) -> DataFrame:
     """``addresses`` with ``cluster``, ``base`` and ``offset``: a gap over ``gap`` begins a new cluster.
 
-    Distinct addresses per group in ``by``.  Without groups the addresses are cut into
-    blocks of 2**32 first, each its own task; clusters that touch a block's edge are
-    then joined to those of the next block.
+    Distinct addresses per group in ``by``, by default the binary.  Each group is cut into
+    blocks of 2**block_bits addresses, so that a large image is many tasks; clusters that
+    touch a block's edge are then joined to those of the next block.
     """
-    keys = by or []
-    block = F.shiftright("addr", 32)
+    keys = BINARY if by is None else by
+    block = F.shiftright("addr", block_bits)
     a = addresses.select(*keys, "addr").distinct().withColumn("_block", block)
     w = Window.partitionBy(*keys, "_block").orderBy("addr")
     inside = a.withColumn("_new", (F.col("addr") - F.lag("addr").over(w) > gap).cast("int"))
@@ -48,25 +53,35 @@ def gap_clusters(addresses: DataFrame, gap: int = GAP, by: list[str] | None = No
 
 
 def co_access(reads: DataFrame, near: DataFrame | None = None) -> DataFrame:
-    """(a, b, weight): functions that read both addresses, a < b.
+    """(label, a, b, weight): functions of a binary that read both addresses, a < b.
 
-    With ``near`` (addr, cluster) only pairs within a cluster are formed.  Function by
-    function, so a function that reads very many addresses gives as many pairs as the
-    result asks for.
+    With ``near`` (label, addr, cluster) only pairs within a cluster are formed.  Pairs of
+    one function are formed in blocks of its addresses: each block of the one side meets
+    each block of the other in a task of its own, so a function that reads very many
+    addresses is no single task.
     """
-    r = reads.select("fn", "addr").distinct()
+    r = reads.select(*BINARY, "fn", "addr").distinct()
+    on = [*BINARY, "fn"]
     if near is not None:
-        r = r.join(near.select("addr", "cluster"), "addr")
-    on = ["fn"] if near is None else ["fn", "cluster"]
-    left, right = r.withColumnRenamed("addr", "a"), r.withColumnRenamed("addr", "b")
-    return left.join(right, on).filter("a < b").groupBy("a", "b").agg(F.count_distinct("fn").alias("weight"))
+        r = r.join(near.select(*BINARY, "addr", "cluster"), [*BINARY, "addr"])
+        on = [*on, "cluster"]
+    size = r.groupBy(*on).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / PAIR_BLOCK)).cast("int").alias("_k"))
+    r = r.join(size, on).withColumn("_b", F.pmod(F.xxhash64("addr"), F.col("_k")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
+    left = r.withColumn("_c", every).select(*on, F.col("addr").alias("a"), F.col("_b").alias("_x"), F.col("_c").alias("_y"))
+    right = r.withColumn("_c", every).select(*on, F.col("addr").alias("b"), F.col("_c").alias("_x"), F.col("_b").alias("_y"))
+    return left.join(right, [*on, "_x", "_y"]).filter("a < b").groupBy(*BINARY, "a", "b").agg(F.count_distinct("fn").alias("weight"))
+
+
+#: Addresses of a function that meet in one task.
+PAIR_BLOCK = 1_000
 
 
 def hubs(pairs: DataFrame, clusters: DataFrame, top: int = 3) -> DataFrame:
-    """(cluster, addr, degree, rank): the addresses of each cluster with most co-access."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("addr"), "weight").groupBy("addr").agg(F.sum("weight").alias("degree"))
-    w = Window.partitionBy("cluster").orderBy(F.desc("degree"), "addr")
-    return ends.join(clusters.select("addr", "cluster"), "addr").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("cluster", "addr", "degree", "rank")
+    """(label, cluster, addr, degree, rank): the addresses of each cluster with most co-access."""
+    ends = pairs.select(*BINARY, F.explode(F.array("a", "b")).alias("addr"), "weight").groupBy(*BINARY, "addr").agg(F.sum("weight").alias("degree"))
+    w = Window.partitionBy(*BINARY, "cluster").orderBy(F.desc("degree"), "addr")
+    return ends.join(clusters.select(*BINARY, "addr", "cluster"), [*BINARY, "addr"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select(*BINARY, "cluster", "addr", "degree", "rank")
 
 
 def alignment(clusters: DataFrame, by: list[str]) -> DataFrame:
@@ -80,42 +95,45 @@ def access_pattern(density: Column) -> Column:
     return ladder((density < 0.20, "ARRAY"), (density > 0.50, "MONOLITHIC"), otherwise="MIXED")
 
 
+CLUSTER = [*BINARY, "cluster"]
+
+
 def co_access_density(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cluster, n, density, pattern): share of a cluster's address pairs that some function reads together."""
-    n = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    ca, cb = clusters.select(F.col("addr").alias("a"), F.col("cluster").alias("ca")), clusters.select(F.col("addr").alias("b"), F.col("cluster").alias("cb"))
-    met = pairs.join(ca, "a").join(cb, "b").filter("ca = cb").groupBy(F.col("ca").alias("cluster")).agg(F.count("*").alias("k"))
+    """(label, cluster, n, density, pattern): share of a cluster's address pairs that some function reads together."""
+    n = clusters.groupBy(*CLUSTER).agg(F.count("*").alias("n"))
+    ca, cb = clusters.select(*BINARY, F.col("addr").alias("a"), F.col("cluster").alias("ca")), clusters.select(*BINARY, F.col("addr").alias("b"), F.col("cluster").alias("cb"))
+    met = pairs.join(ca, [*BINARY, "a"]).join(cb, [*BINARY, "b"]).filter("ca = cb").groupBy(*BINARY, F.col("ca").alias("cluster")).agg(F.count("*").alias("k"))
     whole = F.col("n") * (F.col("n") - 1) / 2
-    out = n.join(met, "cluster", "left").withColumn("density", F.when(F.col("n") > 1, F.coalesce("k", F.lit(0)) / whole).otherwise(F.lit(0.0)))
-    return out.select("cluster", "n", "density", access_pattern(F.col("density")).alias("pattern"))
+    out = n.join(met, CLUSTER, "left").withColumn("density", F.when(F.col("n") > 1, F.coalesce("k", F.lit(0)) / whole).otherwise(F.lit(0.0)))
+    return out.select(*CLUSTER, "n", "density", access_pattern(F.col("density")).alias("pattern"))
 
 
 def gaps(clusters: DataFrame) -> DataFrame:
-    """(cluster, offset, gap): distances between neighbouring offsets."""
-    w = Window.partitionBy("cluster").orderBy("offset")
-    return clusters.select("cluster", "offset").distinct().withColumn("gap", F.col("offset") - F.lag("offset").over(w)).filter("gap is not null")
+    """(label, cluster, offset, gap): distances between neighbouring offsets."""
+    w = Window.partitionBy(*CLUSTER).orderBy("offset")
+    return clusters.select(*CLUSTER, "offset").distinct().withColumn("gap", F.col("offset") - F.lag("offset").over(w)).filter("gap is not null")
 
 
 def gap_entropy(clusters: DataFrame) -> DataFrame:
-    """(cluster, gap_entropy) in bits."""
-    g = gaps(clusters).groupBy("cluster", "gap").agg(F.count("*").alias("c"))
-    n = g.groupBy("cluster").agg(F.sum("c").alias("n"))
-    return g.join(n, "cluster").groupBy("cluster").agg(entropy_of(F.col("c") / F.col("n")).alias("gap_entropy"))
+    """(label, cluster, gap_entropy) in bits."""
+    g = gaps(clusters).groupBy(*CLUSTER, "gap").agg(F.count("*").alias("c"))
+    n = g.groupBy(*CLUSTER).agg(F.sum("c").alias("n"))
+    return g.join(n, CLUSTER).groupBy(*CLUSTER).agg(entropy_of(F.col("c") / F.col("n")).alias("gap_entropy"))
 
 
 def modal_stride(clusters: DataFrame, least: float = 0.75) -> DataFrame:
-    """(cluster, stride, share, elements): the gap that divides most gaps; equal shares prefer the smaller; 0 if too few.
+    """(label, cluster, stride, share, elements): the gap that divides most gaps; equal shares prefer the smaller; 0 if too few.
 
     Every distinct gap is tried against the counted gaps of its cluster.
     """
-    g = gaps(clusters).filter("gap > 0").groupBy("cluster", "gap").agg(F.count("*").alias("c"))
-    n = g.groupBy("cluster").agg(F.sum("c").alias("n"))
-    span = clusters.groupBy("cluster").agg(F.max("offset").alias("span"), F.count_distinct(F.when(F.col("offset") > 0, F.col("offset"))).alias("nz"))
-    tried = g.select("cluster", F.col("gap").alias("stride")).join(g, "cluster").groupBy("cluster", "stride").agg(F.sum(F.when(F.col("gap") % F.col("stride") == 0, F.col("c")).otherwise(0)).alias("k")).join(n, "cluster")
-    best = tried.groupBy("cluster").agg(F.max_by("stride", F.struct(F.col("k") / F.col("n"), -F.col("stride"))).alias("stride"), F.max(F.col("k") / F.col("n")).alias("share"))
-    out = span.join(best, "cluster", "left")
+    g = gaps(clusters).filter("gap > 0").groupBy(*CLUSTER, "gap").agg(F.count("*").alias("c"))
+    n = g.groupBy(*CLUSTER).agg(F.sum("c").alias("n"))
+    span = clusters.groupBy(*CLUSTER).agg(F.max("offset").alias("span"), F.count_distinct(F.when(F.col("offset") > 0, F.col("offset"))).alias("nz"))
+    tried = g.select(*CLUSTER, F.col("gap").alias("stride")).join(g, CLUSTER).groupBy(*CLUSTER, "stride").agg(F.sum(F.when(F.col("gap") % F.col("stride") == 0, F.col("c")).otherwise(0)).alias("k")).join(n, CLUSTER)
+    best = tried.groupBy(*CLUSTER).agg(F.max_by("stride", F.struct(F.col("k") / F.col("n"), -F.col("stride"))).alias("stride"), F.max(F.col("k") / F.col("n")).alias("share"))
+    out = span.join(best, CLUSTER, "left")
     good = (F.col("share") >= least) & (F.col("nz") >= 3)
-    return out.select("cluster", F.when(good, F.col("stride")).otherwise(F.lit(0)).alias("stride"), F.coalesce("share", F.lit(0.0)).alias("share"), F.when(good, F.floor(F.col("span") / F.col("stride")) + 1).otherwise(F.lit(0)).alias("elements"))
+    return out.select(*CLUSTER, F.when(good, F.col("stride")).otherwise(F.lit(0)).alias("stride"), F.coalesce("share", F.lit(0.0)).alias("share"), F.when(good, F.floor(F.col("span") / F.col("stride")) + 1).otherwise(F.lit(0)).alias("elements"))
 
 
 def _gcd(a: Column, b: Column) -> Column:
@@ -126,19 +144,26 @@ def _gcd(a: Column, b: Column) -> Column:
 
 
 def gcd_stride(clusters: DataFrame, least: int = 4) -> DataFrame:
-    """(cluster, gcd): greatest common divisor of the offsets of clusters of at least four members, else 0.
+    """(label, cluster, gcd): greatest common divisor of the offsets of clusters of at least four members, else 0.
 
     Distinct gaps are folded, few per cluster, not the offsets.
     """
-    g = gaps(clusters).groupBy("cluster").agg(F.count("*").alias("k"), F.array_sort(F.collect_set("gap")).alias("gs"))
+    g = gaps(clusters).groupBy(*CLUSTER).agg(F.count("*").alias("k"), F.array_sort(F.collect_set("gap")).alias("gs"))
     fold = F.aggregate("gs", F.lit(0).cast("bigint"), lambda acc, x: _gcd(acc, x))
-    n = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    return n.join(g, "cluster", "left").select("cluster", F.when(F.col("n") >= least, F.coalesce(fold, F.lit(0))).otherwise(F.lit(0)).alias("gcd"))
+    n = clusters.groupBy(*CLUSTER).agg(F.count("*").alias("n"))
+    return n.join(g, CLUSTER, "left").select(*CLUSTER, F.when(F.col("n") >= least, F.coalesce(fold, F.lit(0))).otherwise(F.lit(0)).alias("gcd"))
 
 
-def guard_or_compute(reads: DataFrame) -> DataFrame:
-    """(addr, median_step, kind): read within the first three steps a guard, from the tenth on compute."""
-    m = reads.groupBy("addr").agg(upper_median(F.col("first_step")).alias("median_step"))
+def guard_or_compute(steps: DataFrame, item: str) -> DataFrame:
+    """(label, item, median_step, kind) of first steps (label, item, first_step), one a run: within the first three a guard, from the tenth on compute.
+
+    The upper median, from counts of steps.
+    """
+    c = steps.groupBy(*BINARY, item, "first_step").agg(F.count("*").alias("_c"))
+    key = [*BINARY, item]
+    n = c.groupBy(*key).agg(F.sum("_c").alias("_n"))
+    upto = c.join(n, key).withColumn("_u", F.sum("_c").over(Window.partitionBy(*key).orderBy("first_step")))
+    m = upto.filter(F.col("_u") > F.floor(F.col("_n") / 2)).groupBy(*key).agg(F.min("first_step").alias("median_step"))
     return m.withColumn("kind", ladder((F.col("median_step") <= 3, "guard"), (F.col("median_step") >= 10, "compute"), otherwise="neutral"))
 
 
@@ -183,35 +208,38 @@ def constant_class(v: Column, low: Column, high: Column) -> Column:
     )
 
 
-def implies(a: str, b: str) -> Column:
-    """Whether an unsigned comparison of a variable with a constant implies another of the same variable.
+#: Signed comparisons that interval logic decides; other operators stand for themselves.
+COMPARISONS = ["__eq__", "__ne__", "__lt__", "__le__", "__gt__", "__ge__"]
+
 
-    ``a`` and ``b`` are struct columns (op, rhs_const).  Anything not decided by interval
-    logic is not implied.
+def implication_classes(formulas: DataFrame) -> DataFrame:
+    """(var, kind, bound, n, implied) of distinct formulas (var, op, rhs_const): the classes of equivalent ones, and whether another class implies them.
+
+    A comparison with a constant allows an interval, a point, or all but a point, so it is
+    one of: at most a bound (U), at least a bound (L), equal (E), unequal (N).  One of these
+    implies another exactly if its set lies within the other's, which the extreme bounds of
+    the variable's classes decide without forming pairs.  Other operators imply nothing.
     """
-    oa, ob, ca, cb = F.col(f"{a}.op"), F.col(f"{b}.op"), F.col(f"{a}.rhs_const"), F.col(f"{b}.rhs_const")
-    holds = F.when(ob == "__eq__", ca == cb).when(ob == "__ne__", ca != cb).when(ob == "__lt__", ca < cb).when(ob == "__le__", ca <= cb).when(ob == "__gt__", ca > cb).when(ob == "__ge__", ca >= cb)
-    below = F.when(oa == "__lt__", ca - 1).when(oa == "__le__", ca)  # the greatest value that a allows
-    above = F.when(oa == "__gt__", ca + 1).when(oa == "__ge__", ca)  # the least
-    range_ = (
-        F.when(below.isNotNull(), F.when(ob == "__lt__", below < cb).when(ob == "__le__", below <= cb).when(ob == "__ne__", cb > below))
-        .when(above.isNotNull(), F.when(ob == "__gt__", above > cb).when(ob == "__ge__", above >= cb).when(ob == "__ne__", cb < above))
-        .when(oa == "__ne__", (ob == "__ne__") & (ca == cb))
+    op, c = F.col("op"), F.col("rhs_const").cast("decimal(20,0)")
+    kind = F.when(op.isin("__lt__", "__le__"), "U").when(op.isin("__gt__", "__ge__"), "L").when(op == "__eq__", "E").when(op == "__ne__", "N").otherwise(op)
+    bound = F.when(op == "__lt__", c - 1).when(op == "__gt__", c + 1).otherwise(c)
+    classes = formulas.filter("var is not null and op is not null and rhs_const is not null").select("var", "op", "rhs_const").distinct().groupBy("var", kind.alias("kind"), bound.alias("bound")).agg(F.count("*").alias("n"))
+    of = lambda k: F.when(F.col("kind") == k, F.col("bound"))
+    most = classes.groupBy("var").agg(F.min(of("U")).alias("u"), F.max(of("L")).alias("l"), F.min(of("E")).alias("e0"), F.max(of("E")).alias("e1"))
+    b, k = F.col("bound"), F.col("kind")
+    implied = (
+        F.when(k == "U", F.coalesce(F.col("u") < b, F.lit(False)) | F.coalesce(F.col("e0") <= b, F.lit(False)))
+        .when(k == "L", F.coalesce(F.col("l") > b, F.lit(False)) | F.coalesce(F.col("e1") >= b, F.lit(False)))
+        .when(k == "N", F.coalesce(F.col("u") < b, F.lit(False)) | F.coalesce(F.col("l") > b, F.lit(False)) | F.coalesce((F.col("e0") != b) | (F.col("e1") != b), F.lit(False)))
+        .otherwise(F.lit(False))
     )
-    return F.coalesce(F.when(oa == "__eq__", holds).otherwise(range_), F.lit(False))
-
+    return classes.join(most, "var").select("var", "kind", "bound", "n", implied.alias("implied"))
 
-def implication_edges(constraints: DataFrame, per_group: int | None = None) -> DataFrame:
-    """(src, dst) of distinct formulas (id, var, op, rhs_const) where one implies the other; pairs share the variable.
 
-    ``per_group`` caps the formulas of a variable, in the order of their ids, as the
-    budget of the search; None tries all.
-    """
-    c = constraints.select("id", "var", F.struct("op", "rhs_const").alias("f")).dropna()
-    if per_group is not None:
-        c = c.withColumn("_r", F.row_number().over(Window.partitionBy("var").orderBy("id"))).filter(F.col("_r") <= per_group).drop("_r")
-    pairs = c.select("var", F.col("id").alias("src"), F.col("f").alias("a")).join(c.select("var", F.col("id").alias("dst"), F.col("f").alias("b")), "var").filter("src != dst")
-    return pairs.filter(implies("a", "b")).select("src", "dst")
+def implication_basis(classes: DataFrame) -> DataFrame:
+    """(var, n, n_unique, basis, redundancy): formulas, classes of equivalent ones, and those that no other implies."""
+    per = classes.groupBy("var").agg(F.sum("n").alias("n"), F.count("*").alias("n_unique"), F.count_if(~F.col("implied")).alias("basis"))
+    return per.withColumn("redundancy", 1 - F.col("basis") / F.col("n_unique"))
 
 
 def change_runs(flags: DataFrame, by: list[str], at: str, tolerance: int = 8) -> DataFrame:

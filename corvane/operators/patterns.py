@@ -8,11 +8,11 @@ from pyspark.sql.window import Window
 
 from ..functions.exprs import ladder
 
-#: Rules that the broadcast containment test is meant for; more take the join on tokens.
-BROADCAST_RULES = 2_000
+#: Size of a grammar.
+TOP_RULES = 300
 
 
-def frequent_runs(corpus: DataFrame, n: int = 2, top: int = 30) -> DataFrame:
+def frequent_runs(corpus: DataFrame, n: int = 2, top: int = TOP_RULES) -> DataFrame:
     """(rule_id, count, expansion): the most frequent runs of n tokens, the rule provider.
 
     Runs within a function only; ties by expansion.  ``top`` is the size of the grammar.
@@ -42,19 +42,21 @@ def rule_label(expansion: Column) -> Column:
     )
 
 
-def presence(corpus: DataFrame, rules: DataFrame, n_rules: int | None = None) -> DataFrame:
-    """(label, fn_id, rule_id) where all tokens of a rule occur in the function.
+def presence(corpus: DataFrame, rules: DataFrame) -> DataFrame:
+    """(label, fn_id, rule_id) where all tokens of a rule occur in the function; a rule without tokens is nowhere.
 
-    Up to BROADCAST_RULES rules the functions are tested against a broadcast of them;
-    beyond, tokens are joined and a rule is present when all its distinct tokens are.
+    A rule is joined to functions by the token of it that the fewest functions have; the
+    others are looked up in the function's own tokens.  So a function meets few rules it
+    does not hold, and the join is hashed.
     """
-    n_rules = rules.count() if n_rules is None else n_rules
-    if n_rules <= BROADCAST_RULES:
-        held = F.broadcast(rules.select("rule_id", F.array_distinct("expansion").alias("_terms")))
-        return corpus.select("label", "fn_id", F.array_distinct("tokens").alias("_t")).join(held, F.size(F.array_except("_terms", "_t")) == 0).select("label", "fn_id", "rule_id")
-    terms = rules.select("rule_id", F.explode(F.array_distinct("expansion")).alias("token"), F.size(F.array_distinct("expansion")).alias("_need"))
-    own = corpus.select("label", "fn_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    return own.join(terms, "token").groupBy("label", "fn_id", "rule_id", "_need").agg(F.count("*").alias("_n")).filter("_n = _need").select("label", "fn_id", "rule_id")
+    own = corpus.select("label", "fn_id", F.array_distinct("tokens").alias("_t"))
+    held = own.select(F.explode("_t").alias("token")).groupBy("token").agg(F.count("*").alias("_c"))
+    terms = rules.select("rule_id", F.array_distinct("expansion").alias("_terms"))
+    each = terms.select("rule_id", "_terms", F.explode("_terms").alias("token")).join(held, "token", "left")
+    # a token that no function has is the rarest
+    rarest = each.groupBy("rule_id", "_terms").agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), "token"))["token"].alias("_key"))
+    met = own.withColumn("_key", F.explode("_t")).join(rarest, "_key")
+    return met.filter(F.forall("_terms", lambda x: F.array_contains("_t", x))).select("label", "fn_id", "rule_id")
 
 
 def rule_weights(present: DataFrame, rules: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -67,10 +69,11 @@ def rule_weights(present: DataFrame, rules: DataFrame, corpus: DataFrame) -> Dat
     return p.join(F.broadcast(top)).select("rule_id", "p", (var / F.when(F.col("_max") == 0, 1.0).otherwise(F.col("_max"))).alias("weight"))
 
 
-def coverage(present: DataFrame, corpus: DataFrame, n_rules: int) -> DataFrame:
+def coverage(present: DataFrame, corpus: DataFrame, rules: DataFrame) -> DataFrame:
     """(label, fn_id, coverage): share of all rules present; 0 for functions without any."""
     hits = present.groupBy("fn_id").agg(F.count("*").alias("_k"))
-    return corpus.select("label", "fn_id").join(hits, "fn_id", "left").select("label", "fn_id", (F.coalesce("_k", F.lit(0)) / F.lit(n_rules)).alias("coverage"))
+    n = F.broadcast(rules.agg(F.greatest(F.count("*"), F.lit(1)).alias("_n")))
+    return corpus.select("label", "fn_id").join(hits, "fn_id", "left").join(n).select("label", "fn_id", (F.coalesce("_k", F.lit(0)) / F.col("_n")).alias("coverage"))
 
 
 def coverage_verdict(c: Column) -> Column:

@@ -10,6 +10,7 @@ from ..operators import patterns as P
 from ..operators import textfeat as X
 from ..sources.relations import corpus, operations, rounded
 from ..sources.tables import current_functions, table
+from .lineage import cut
 
 NOW = "now AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY fn_id ORDER BY dump_ts DESC) AS rn FROM calltree) WHERE rn = 1)"
 CORPUS = NOW + ", corpus AS (SELECT label, fn_id, regexp_extract_all(lower(pseudocode), '[a-z]+') AS tokens FROM now WHERE pseudocode IS NOT NULL), tok AS (SELECT label, fn_id, unnest(tokens) AS token FROM corpus)"
@@ -21,7 +22,7 @@ line AS (SELECT *, CASE WHEN base IN ('CBRANCH','CALL','RETURN') THEN base ELSE
 corpus AS (SELECT o_orderpriority AS label, l_orderkey AS fn_id, list(token ORDER BY l_linenumber, l_partkey, l_suppkey, token) AS tokens FROM line JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)"""
 # the rule miner over operations: pairs of neighbouring tokens
 RULES = """runs AS (SELECT tokens[i] || ' ' || tokens[i + 1] AS e FROM corpus, unnest(range(1, len(tokens))) AS t(i)),
-rules AS (SELECT row_number() OVER (ORDER BY n DESC, e) - 1 AS rule_id, n AS "count", e FROM (SELECT e, count(*) AS n FROM runs GROUP BY e ORDER BY n DESC, e LIMIT 30)),
+rules AS (SELECT row_number() OVER (ORDER BY n DESC, e) - 1 AS rule_id, n AS "count", e FROM (SELECT e, count(*) AS n FROM runs GROUP BY e ORDER BY n DESC, e LIMIT 300)),
 present AS (SELECT label, fn_id, rule_id FROM corpus, rules WHERE list_has_all(tokens, string_split(e, ' ')))"""
 
 QUERIES: dict = {}
@@ -84,8 +85,8 @@ def size_guard(s, d):
 
 
 def _mined(s, d):
-    ops = operations(s, d)
-    return ops, P.frequent_runs(ops)
+    ops = cut(operations(s, d))
+    return ops, cut(P.frequent_runs(ops))
 
 
 @query(f'WITH {OPS}, {RULES} SELECT rule_id, "count", e AS expansion FROM rules')
@@ -98,35 +99,35 @@ def rule_miner(s, d):
 @query(f"WITH {OPS}, {RULES} SELECT label, fn_id, rule_id FROM present")
 def rule_presence(s, d):
     ops, rules = _mined(s, d)
-    return P.presence(ops, rules, 30)
+    return P.presence(ops, rules)
 
 
 @query(f"WITH {OPS}, {RULES} SELECT rule_id, label, count(*) AS n FROM present GROUP BY ALL")
 def rule_usage(s, d):
     ops, rules = _mined(s, d)
-    return P.presence(ops, rules, 30).groupBy("rule_id", "label").agg(F.count("*").alias("n"))
+    return P.presence(ops, rules).groupBy("rule_id", "label").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {OPS}, {RULES}, k AS (SELECT rule_id, count(fn_id) / (SELECT count(*) FROM corpus) AS p FROM rules LEFT JOIN present USING (rule_id) GROUP BY rule_id)
 SELECT rule_id, round(p, 6) AS p, round(p * (1 - p) / max(p * (1 - p)) OVER (), 6) AS weight FROM k""")
 def rule_variance(s, d):
     ops, rules = _mined(s, d)
-    return rounded(P.rule_weights(P.presence(ops, rules, 30), rules, ops), "p", "weight")
+    return rounded(P.rule_weights(P.presence(ops, rules), rules, ops), "p", "weight")
 
 
-@query(f"WITH {OPS}, {RULES} SELECT label, corpus.fn_id, round(count(rule_id) / 30, 6) AS coverage FROM corpus LEFT JOIN present USING (label, fn_id) GROUP BY ALL")
+@query(f"WITH {OPS}, {RULES} SELECT label, corpus.fn_id, round(count(rule_id) / greatest((SELECT count(*) FROM rules), 1), 6) AS coverage FROM corpus LEFT JOIN present USING (label, fn_id) GROUP BY ALL")
 def coverage(s, d):
     ops, rules = _mined(s, d)
-    return rounded(P.coverage(P.presence(ops, rules, 30), ops, 30), "coverage")
+    return rounded(P.coverage(P.presence(ops, rules), ops, rules), "coverage")
 
 
-_COVER = f"{OPS}, {RULES}, cover AS (SELECT label, corpus.fn_id, count(rule_id) / 30 AS coverage FROM corpus LEFT JOIN present USING (label, fn_id) GROUP BY ALL)"
+_COVER = f"{OPS}, {RULES}, cover AS (SELECT label, corpus.fn_id, count(rule_id) / greatest((SELECT count(*) FROM rules), 1) AS coverage FROM corpus LEFT JOIN present USING (label, fn_id) GROUP BY ALL)"
 
 
 @query(f"WITH {_COVER} SELECT label, round(avg(coverage), 6) AS mean, round(stddev_pop(coverage), 6) AS sd, round(quantile_cont(coverage, 0.5), 6) AS median, CASE WHEN avg(coverage) < 0.2 THEN 'low' WHEN avg(coverage) < 0.35 THEN 'moderate' WHEN avg(coverage) < 0.5 THEN 'good' ELSE 'high' END AS verdict FROM cover GROUP BY label")
 def coverage_stats(s, d):
     ops, rules = _mined(s, d)
-    c = P.coverage(P.presence(ops, rules, 30), ops, 30)
+    c = P.coverage(P.presence(ops, rules), ops, rules)
     out = c.groupBy("label").agg(F.avg("coverage").alias("mean"), F.stddev_pop("coverage").alias("sd"), F.percentile("coverage", 0.5).alias("median"))
     return rounded(out.withColumn("verdict", P.coverage_verdict(F.col("mean"))), "mean", "sd", "median")
 
@@ -136,7 +137,7 @@ SELECT label, fn_id, round(coverage, 6) AS coverage, lo, hi FROM r WHERE lo <= 1
 def coverage_extremes(s, d):
     """The ten functions of least and of most coverage of each label."""
     ops, rules = _mined(s, d)
-    c = P.coverage(P.presence(ops, rules, 30), ops, 30)
+    c = P.coverage(P.presence(ops, rules), ops, rules)
     lo, hi = Window.partitionBy("label").orderBy("coverage", "fn_id"), Window.partitionBy("label").orderBy(F.desc("coverage"), "fn_id")
     return rounded(c.withColumn("lo", F.row_number().over(lo)).withColumn("hi", F.row_number().over(hi)).filter("lo <= 10 or hi <= 10"), "coverage")
 
@@ -148,14 +149,14 @@ lift AS (SELECT label, rule_id, count(*) / any_value(n) AS local, any_value(over
 @query(f"WITH {_LIFT} SELECT label, rule_id, round(local, 6) AS local, round(overall, 6) AS overall, round(lift, 6) AS lift FROM lift")
 def rule_lift(s, d):
     ops, rules = _mined(s, d)
-    return rounded(P.lift(P.presence(ops, rules, 30), ops, "label"), "local", "overall", "lift")
+    return rounded(P.lift(P.presence(ops, rules), ops, "label"), "local", "overall", "lift")
 
 
 @query(f"WITH {_LIFT}, r AS (SELECT label, rule_id, round(lift, 6) AS lift, row_number() OVER (PARTITION BY label ORDER BY round(lift, 6) DESC, rule_id) AS rank FROM lift) SELECT * FROM r WHERE rank <= 6")
 def rule_lift_top(s, d):
     """The six rules that stand out most in each label."""
     ops, rules = _mined(s, d)
-    lift = rounded(P.lift(P.presence(ops, rules, 30), ops, "label"), "lift").select("label", "rule_id", "lift")
+    lift = rounded(P.lift(P.presence(ops, rules), ops, "label"), "lift").select("label", "rule_id", "lift")
     return P.top_per_group(lift, ["label"], [F.desc("lift"), F.col("rule_id")], 6)
 
 
@@ -163,7 +164,7 @@ def rule_lift_top(s, d):
 SELECT p.label AS a, q.label AS b, round(sum(p.x * q.x) / any_value(np.norm * nq.norm), 6) AS cosine FROM v p JOIN v q USING (rule_id) JOIN nn np ON np.label = p.label JOIN nn nq ON nq.label = q.label WHERE p.label < q.label GROUP BY ALL""")
 def profile_cosine(s, d):
     ops, rules = _mined(s, d)
-    return rounded(P.profile_cosine(P.presence(ops, rules, 30), ops), "cosine")
+    return rounded(P.profile_cosine(P.presence(ops, rules), ops), "cosine")
 
 
 _ARCH = f"{OPS}, arch AS (SELECT label, fn_id, lower(array_to_string(tokens, ' ')) AS t FROM corpus), typed AS (SELECT label, fn_id, CASE WHEN contains(t, 'load_8 int_add_8 return') OR contains(t, 'load_8 copy_8 int_add_8 return') THEN 'GETTER' WHEN contains(t, 'branchind') THEN 'DISPATCHER' WHEN contains(t, 'float_arith') OR contains(t, 'float_cast') THEN 'FLOAT_COMPUTE' WHEN contains(t, 'bool_op_1 cbranch') THEN 'GUARD_COMPOUND' WHEN contains(t, 'int_equal_1') AND contains(t, 'cbranch') THEN 'GUARD_SIMPLE' WHEN contains(t, 'store_16') OR contains(t, 'load_16') THEN 'SIMD_COPY' WHEN contains(t, 'int_add_8 copy_8 store_8') AND NOT contains(t, 'load') THEN 'WRITER' WHEN contains(t, 'int_add_8 load_8 copy_8') THEN 'READER' WHEN contains(t, 'copy_8 copy_8 copy_8') THEN 'REGISTER_HEAVY' WHEN contains(t, 'overflow_check') OR contains(t, 'int_ucmp') THEN 'ARITHMETIC' ELSE 'MIXED' END AS archetype FROM arch)"
@@ -199,7 +200,7 @@ r AS (SELECT label, fn_id, round(coverage, 6) AS coverage, size, row_number() OV
 def novel_topk(s, d):
     """Functions that the grammar covers least, twenty of each label, with how many there are."""
     ops, rules = _mined(s, d)
-    c = P.coverage(P.presence(ops, rules, 30), ops, 30).filter("coverage <= 0.15").join(ops.select("fn_id", F.size("tokens").alias("size")), "fn_id")
+    c = P.coverage(P.presence(ops, rules), ops, rules).filter("coverage <= 0.15").join(ops.select("fn_id", F.size("tokens").alias("size")), "fn_id")
     n = c.groupBy("label").agg(F.count("*").alias("n_all"))
     top = P.top_per_group(c, ["label"], [F.col("coverage"), F.col("size"), F.col("fn_id")], 20)
     return rounded(top.join(F.broadcast(n), "label").select("label", "fn_id", "coverage", "size", "rank", "n_all"), "coverage")
@@ -208,7 +209,7 @@ def novel_topk(s, d):
 @query(f"WITH {_COVER}, r AS (SELECT label, fn_id, round(coverage, 6) AS coverage, row_number() OVER (PARTITION BY label ORDER BY coverage DESC, fn_id) AS rank FROM cover WHERE coverage >= 0.2) SELECT * FROM r WHERE rank <= 10")
 def predictable_topk(s, d):
     ops, rules = _mined(s, d)
-    c = P.coverage(P.presence(ops, rules, 30), ops, 30).filter("coverage >= 0.2")
+    c = P.coverage(P.presence(ops, rules), ops, rules).filter("coverage >= 0.2")
     return rounded(P.top_per_group(c, ["label"], [F.desc("coverage"), F.col("fn_id")], 10), "coverage").select("label", "fn_id", "coverage", "rank")
 
 

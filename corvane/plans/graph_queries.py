@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions.exprs import entropy_of, ladder
 from ..operators import graph as G
 from ..operators import graph_local as L
-from ..sources.relations import call_lists, part_graph, rounded
+from ..sources.relations import call_lists, call_targets, part_graph, rounded
 from ..sources.tables import current_functions, table
 from .corpus_queries import NOW
 from .lineage import cut
@@ -53,11 +53,12 @@ def degree_distinct(s, d):
     return G.degrees(nodes, edges.filter("dst is not null"), distinct=True)
 
 
-@query(f"WITH {GRAPH} SELECT src, coalesce(CAST(dst AS VARCHAR), 'EXTERNAL') AS target, count(*) AS n FROM edges GROUP BY ALL")
+@query(f"WITH {GRAPH}, anywhere AS (SELECT addr, min(node) AS g FROM nodes GROUP BY addr), res AS (SELECT c.src, coalesce(CAST(n.node AS VARCHAR), CAST(g.g AS VARCHAR), 'EXTERNAL') AS target FROM calls c LEFT JOIN nodes n ON n.label = c.label AND n.addr = c.addr LEFT JOIN anywhere g ON g.addr = c.addr) SELECT src, target, count(*) AS n FROM res GROUP BY ALL")
 def callee_resolution(s, d):
-    """Calls resolved within the binary, the rest literally EXTERNAL."""
-    _, edges = call_lists(s, d)
-    return edges.groupBy("src", F.coalesce(F.col("dst").cast("string"), F.lit("EXTERNAL")).alias("target")).agg(F.count("*").alias("n"))
+    """Calls resolved within the binary, else by address in any binary (the least function), else EXTERNAL."""
+    nodes, calls = call_targets(s, d)
+    r = G.resolved(nodes, calls)
+    return r.groupBy("src", F.coalesce(F.col("dst").cast("string"), F.lit("EXTERNAL")).alias("target")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {GRAPH} SELECT DISTINCT dst AS node, src AS caller FROM inner_")
@@ -138,20 +139,21 @@ def size_counts(s, d):
 
 _WL = f"""WITH {GRAPH}, w0 AS (SELECT node, {_SIZE} AS wl0 FROM nodes),
 t1 AS (SELECT w0.node, wl0 || '|' || coalesce(n, '') AS t FROM w0 LEFT JOIN (SELECT e.src AS node, string_agg(coalesce(c.wl0, 'EXTERNAL'), ',' ORDER BY coalesce(c.wl0, 'EXTERNAL')) AS n FROM edges e LEFT JOIN w0 c ON c.node = e.dst GROUP BY e.src) USING (node)), w1 AS (SELECT node, 'L1_' || (dense_rank() OVER (ORDER BY t) - 1) AS wl1 FROM t1),
-t2 AS (SELECT w1.node, wl1 || '|' || coalesce(n, '') AS t FROM w1 LEFT JOIN (SELECT e.src AS node, string_agg(coalesce(c.wl1, 'EXTERNAL'), ',' ORDER BY coalesce(c.wl1, 'EXTERNAL')) AS n FROM edges e LEFT JOIN w1 c ON c.node = e.dst GROUP BY e.src) USING (node)), w2 AS (SELECT node, 'L2_' || (dense_rank() OVER (ORDER BY t) - 1) AS wl2 FROM t2)"""
+t2 AS (SELECT w1.node, wl1 || '|' || coalesce(n, '') AS t FROM w1 LEFT JOIN (SELECT e.src AS node, string_agg(coalesce(c.wl1, 'EXTERNAL'), ',' ORDER BY coalesce(c.wl1, 'EXTERNAL')) AS n FROM edges e LEFT JOIN w1 c ON c.node = e.dst GROUP BY e.src) USING (node)), w2 AS (SELECT node, 'L2_' || (dense_rank() OVER (ORDER BY t) - 1) AS wl2 FROM t2),
+t3 AS (SELECT w2.node, wl2 || '|' || coalesce(n, '') AS t FROM w2 LEFT JOIN (SELECT e.src AS node, string_agg(coalesce(c.wl2, 'EXTERNAL'), ',' ORDER BY coalesce(c.wl2, 'EXTERNAL')) AS n FROM edges e LEFT JOIN w2 c ON c.node = e.dst GROUP BY e.src) USING (node)), w3 AS (SELECT node, 'L3_' || (dense_rank() OVER (ORDER BY t) - 1) AS wl3 FROM t3)"""
 
 
 def _refined(s, d):
     from ..operators.textfeat import size_class
 
     nodes, edges = call_lists(s, d)
-    return G.refine(nodes.withColumn("wl0", size_class(F.col("size"))), edges, "wl0", 2), nodes, edges
+    return G.refine(nodes.withColumn("wl0", size_class(F.col("size"))), edges, "wl0", 3), nodes, edges
 
 
-@query(_WL + " SELECT node, wl0, wl1, wl2 FROM w0 JOIN w1 USING (node) JOIN w2 USING (node)")
+@query(_WL + " SELECT node, wl0, wl1, wl2, wl3 FROM w0 JOIN w1 USING (node) JOIN w2 USING (node) JOIN w3 USING (node)")
 def wl_labels(s, d):
-    """Labels refined twice by the labels of the callees."""
-    return _refined(s, d)[0].select("node", "wl0", "wl1", "wl2")
+    """Labels refined three times by the labels of the callees."""
+    return _refined(s, d)[0].select("node", "wl0", "wl1", "wl2", "wl3")
 
 
 @query(_WL + ", n AS (SELECT wl1, count(*) AS n FROM w1 GROUP BY wl1) SELECT wl1, n, row_number() OVER (ORDER BY n DESC, wl1) AS rank FROM n ORDER BY n DESC, wl1 LIMIT 5")
@@ -224,17 +226,23 @@ def dag_depth(s, d):
 
 @query()
 def pagerank(s, d):
-    return rounded(G.pagerank(*_inner(s, d), rounds=20), "rank", digits=9)
+    return rounded(G.pagerank(*_inner(s, d)), "rank", digits=9)
 
 
 @query()
 def hits(s, d):
-    return rounded(G.hits(*_inner(s, d), rounds=10), "hub", "authority", digits=9)
+    return rounded(G.hits(*_inner(s, d)), "hub", "authority", digits=9)
 
 
 @query()
 def betweenness(s, d):
-    """Betweenness over calls, from 500 sampled sources beyond 2,000 functions: the sampling is the operator's own."""
+    """Betweenness over calls from all sources."""
+    return rounded(G.betweenness(*_inner(s, d)), "betweenness", digits=9)
+
+
+@query()
+def betweenness_sampled(s, d):
+    """Betweenness from 500 sampled sources beyond 2,000 functions: the sampling is the operator's own."""
     nodes, edges = _inner(s, d)
     return rounded(G.betweenness(nodes, edges, 500 if nodes.count() > 2000 else None), "betweenness", digits=9)
 

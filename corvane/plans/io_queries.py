@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evidence as E
 from ..operators import incidence as I
 from ..operators import iomap as M
-from ..sources.relations import constraint_rows, global_reads, io_map, observations, rounded
+from ..sources.relations import constraint_rows, first_steps, global_reads, io_map, observations, rounded
 from ..sources.tables import latest, table
 from .lineage import cut
 
@@ -15,9 +15,9 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 IO = "io AS (SELECT func, x, fx FROM (SELECT label || '::' || func_id AS func, args[1] AS x, retval AS fx, row_number() OVER (PARTITION BY label || '::' || func_id, args[1] ORDER BY run_ts, probe_id, retval) AS rn FROM execute_result WHERE error IS NULL AND len(args) > 0 AND args[1] IS NOT NULL AND retval IS NOT NULL AND label IS NOT NULL AND func_id IS NOT NULL) WHERE rn = 1)"
-READS = "runs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY exec_id ORDER BY run_ts DESC, va DESC) AS rn FROM exec_result WHERE global_reads IS NOT NULL) WHERE rn = 1), reads AS (SELECT label, exec_id AS fn, e.key AS addr, e.value AS size, CAST(e.key % 17 AS INT) AS first_step FROM (SELECT label, exec_id, unnest(map_entries(global_reads)) AS e FROM runs)), r AS (SELECT DISTINCT fn, addr FROM reads)"
-CLUSTERS = READS + ", gap AS (SELECT addr, CASE WHEN addr - lag(addr) OVER (ORDER BY addr) <= 4096 THEN 0 ELSE 1 END AS b FROM (SELECT DISTINCT addr FROM reads)), c0 AS (SELECT addr, sum(b) OVER (ORDER BY addr) - 1 AS cluster FROM gap), cl AS (SELECT addr, cluster, min(addr) OVER (PARTITION BY cluster) AS base, addr - min(addr) OVER (PARTITION BY cluster) AS \"offset\" FROM c0)"
-PAIRS = "pairs AS (SELECT p.addr AS a, q.addr AS b, count(DISTINCT p.fn) AS weight FROM r p JOIN r q ON p.fn = q.fn AND p.addr < q.addr GROUP BY ALL)"
+READS = "runs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY exec_id ORDER BY run_ts DESC, va DESC) AS rn FROM exec_result WHERE global_reads IS NOT NULL) WHERE rn = 1), reads AS (SELECT label, exec_id AS fn, e.key AS addr, e.value AS size FROM (SELECT label, exec_id, unnest(map_entries(global_reads)) AS e FROM runs)), r AS (SELECT DISTINCT label, fn, addr FROM reads)"
+CLUSTERS = READS + ", gap AS (SELECT label, addr, CASE WHEN addr - lag(addr) OVER (PARTITION BY label ORDER BY addr) <= 4096 THEN 0 ELSE 1 END AS b FROM (SELECT DISTINCT label, addr FROM reads)), c0 AS (SELECT label, addr, sum(b) OVER (PARTITION BY label ORDER BY addr) - 1 AS cluster FROM gap), cl AS (SELECT label, addr, cluster, min(addr) OVER (PARTITION BY label, cluster) AS base, addr - min(addr) OVER (PARTITION BY label, cluster) AS \"offset\" FROM c0)"
+PAIRS = "pairs AS (SELECT p.label, p.addr AS a, q.addr AS b, count(DISTINCT p.fn) AS weight FROM r p JOIN r q ON p.label = q.label AND p.fn = q.fn AND p.addr < q.addr GROUP BY ALL)"
 CONS = "cons AS (SELECT exec_id, pos, any_value(label) AS label, any_value(c) AS c FROM (SELECT exec_id, label, unnest(constraints) AS c, generate_subscripts(constraints, 1) AS pos FROM exec_result) WHERE c IS NOT NULL AND c.formula IS NOT NULL GROUP BY exec_id, pos)"
 OBS = "obs AS (SELECT user_id % 10 AS session, CAST(json_extract_string(props, '$.k') AS BIGINT) AS addr_key, event_type AS value, ts, event_id AS seq FROM events), adr AS (SELECT addr_key, addr_key * 1000003 + seq % 7 * 65536 AS addr FROM obs)"
 
@@ -123,7 +123,7 @@ def discriminating_inputs(s, d):
 # ---- incidence
 
 
-@query(f"WITH {CLUSTERS} SELECT addr, cluster, base, \"offset\" FROM cl")
+@query(f"WITH {CLUSTERS} SELECT label, addr, cluster, base, \"offset\" FROM cl")
 def gap_clusters(s, d):
     return I.gap_clusters(global_reads(s, d))
 
@@ -133,57 +133,61 @@ def _clustered(s, d):
     return reads, cut(I.gap_clusters(reads))
 
 
-@query(f"WITH {READS}, {PAIRS} SELECT a, b, weight FROM pairs")
+@query(f"WITH {READS}, {PAIRS} SELECT label, a, b, weight FROM pairs")
 def coaccess(s, d):
     return I.co_access(global_reads(s, d))
 
 
-@query(f"WITH {CLUSTERS}, {PAIRS}, n AS (SELECT cluster, count(*) AS n FROM cl GROUP BY cluster), k AS (SELECT x.cluster, count(*) AS k FROM pairs JOIN cl x ON x.addr = a JOIN cl y ON y.addr = b WHERE x.cluster = y.cluster GROUP BY x.cluster), o AS (SELECT cluster, n, CASE WHEN n > 1 THEN coalesce(k, 0) / (n * (n - 1) / 2) ELSE 0 END AS density FROM n LEFT JOIN k USING (cluster)) SELECT cluster, n, round(density, 6) AS density, CASE WHEN density < 0.2 THEN 'ARRAY' WHEN density > 0.5 THEN 'MONOLITHIC' ELSE 'MIXED' END AS pattern FROM o")
+@query(f"WITH {CLUSTERS}, {PAIRS}, n AS (SELECT label, cluster, count(*) AS n FROM cl GROUP BY ALL), k AS (SELECT x.label, x.cluster, count(*) AS k FROM pairs JOIN cl x ON x.addr = a AND x.label = pairs.label JOIN cl y ON y.addr = b AND y.label = pairs.label WHERE x.cluster = y.cluster GROUP BY ALL), o AS (SELECT label, cluster, n, CASE WHEN n > 1 THEN coalesce(k, 0) / (n * (n - 1) / 2) ELSE 0 END AS density FROM n LEFT JOIN k USING (label, cluster)) SELECT label, cluster, n, round(density, 6) AS density, CASE WHEN density < 0.2 THEN 'ARRAY' WHEN density > 0.5 THEN 'MONOLITHIC' ELSE 'MIXED' END AS pattern FROM o")
 def coaccess_density(s, d):
     reads, clusters = _clustered(s, d)
     return rounded(I.co_access_density(clusters, I.co_access(reads, clusters)), "density")
 
 
-@query(f"WITH {CLUSTERS}, {PAIRS}, g AS (SELECT addr, sum(weight) AS degree FROM (SELECT a AS addr, weight FROM pairs UNION ALL SELECT b, weight FROM pairs) GROUP BY addr), k AS (SELECT cluster, addr, degree, row_number() OVER (PARTITION BY cluster ORDER BY degree DESC, addr) AS rank FROM g JOIN cl USING (addr)) SELECT * FROM k WHERE rank <= 3")
+@query(f"WITH {CLUSTERS}, {PAIRS}, g AS (SELECT label, addr, sum(weight) AS degree FROM (SELECT label, a AS addr, weight FROM pairs UNION ALL SELECT label, b, weight FROM pairs) GROUP BY ALL), k AS (SELECT label, cluster, addr, degree, row_number() OVER (PARTITION BY label, cluster ORDER BY degree DESC, addr) AS rank FROM g JOIN cl USING (label, addr)) SELECT * FROM k WHERE rank <= 3")
 def hub_globals(s, d):
     """The three addresses of each cluster that are read together with others most."""
     reads, clusters = _clustered(s, d)
     return I.hubs(I.co_access(reads), clusters)
 
 
-@query(f"WITH {CLUSTERS}, a AS (SELECT cluster, count(*) AS n, avg(CAST(\"offset\" % 4 = 0 AS INT)) AS t3 FROM cl GROUP BY cluster) SELECT cluster, n, round(t3, 6) AS t3, round((t3 * n - 0.25 * n) / sqrt(n * 0.1875), 6) AS z, CASE WHEN t3 >= 0.8 THEN 'STRUCT' WHEN t3 >= 0.4 THEN 'ENUM' ELSE 'LOOKUP' END AS kind FROM a")
+@query(f"WITH {CLUSTERS}, a AS (SELECT label, cluster, count(*) AS n, avg(CAST(\"offset\" % 4 = 0 AS INT)) AS t3 FROM cl GROUP BY ALL) SELECT label, cluster, n, round(t3, 6) AS t3, round((t3 * n - 0.25 * n) / sqrt(n * 0.1875), 6) AS z, CASE WHEN t3 >= 0.8 THEN 'STRUCT' WHEN t3 >= 0.4 THEN 'ENUM' ELSE 'LOOKUP' END AS kind FROM a")
 def alignment_z(s, d):
-    return rounded(I.alignment(_clustered(s, d)[1], ["cluster"]), "t3", "z")
+    return rounded(I.alignment(_clustered(s, d)[1], ["label", "cluster"]), "t3", "z")
 
 
-_GAPS = "gaps AS (SELECT cluster, gap FROM (SELECT cluster, \"offset\" - lag(\"offset\") OVER (PARTITION BY cluster ORDER BY \"offset\") AS gap FROM cl) WHERE gap IS NOT NULL)"
+_GAPS = "gaps AS (SELECT label, cluster, gap FROM (SELECT label, cluster, \"offset\" - lag(\"offset\") OVER (PARTITION BY label, cluster ORDER BY \"offset\") AS gap FROM cl) WHERE gap IS NOT NULL)"
 
 
-@query(f"WITH {CLUSTERS}, {_GAPS}, c AS (SELECT cluster, gap, count(*) AS c FROM gaps GROUP BY ALL), p AS (SELECT cluster, c / sum(c) OVER (PARTITION BY cluster) AS p FROM c) SELECT cluster, round(sum(-p * log2(p)), 6) AS gap_entropy FROM p GROUP BY cluster")
+@query(f"WITH {CLUSTERS}, {_GAPS}, c AS (SELECT label, cluster, gap, count(*) AS c FROM gaps GROUP BY ALL), p AS (SELECT label, cluster, c / sum(c) OVER (PARTITION BY label, cluster) AS p FROM c) SELECT label, cluster, round(sum(-p * log2(p)), 6) AS gap_entropy FROM p GROUP BY ALL")
 def gap_entropy(s, d):
     return rounded(I.gap_entropy(_clustered(s, d)[1]), "gap_entropy")
 
 
-@query(f"""WITH {CLUSTERS}, {_GAPS}, c AS (SELECT cluster, gap, count(*) AS c FROM gaps WHERE gap > 0 GROUP BY ALL), n AS (SELECT cluster, sum(c) AS n FROM c GROUP BY cluster), t AS (SELECT x.cluster, x.gap AS stride, sum(CASE WHEN y.gap % x.gap = 0 THEN y.c ELSE 0 END) / any_value(n) AS share FROM c x JOIN c y USING (cluster) JOIN n USING (cluster) GROUP BY x.cluster, x.gap),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY share DESC, stride) AS rn FROM t) WHERE rn = 1), sp AS (SELECT cluster, max("offset") AS span, count(DISTINCT "offset") FILTER ("offset" > 0) AS nz FROM cl GROUP BY cluster)
-SELECT sp.cluster, CASE WHEN share >= 0.75 AND nz >= 3 THEN stride ELSE 0 END AS stride, round(coalesce(share, 0), 6) AS share, CASE WHEN share >= 0.75 AND nz >= 3 THEN span // stride + 1 ELSE 0 END AS elements FROM sp LEFT JOIN b USING (cluster)""")
+@query(f"""WITH {CLUSTERS}, {_GAPS}, c AS (SELECT label, cluster, gap, count(*) AS c FROM gaps WHERE gap > 0 GROUP BY ALL), n AS (SELECT label, cluster, sum(c) AS n FROM c GROUP BY ALL), t AS (SELECT x.label, x.cluster, x.gap AS stride, sum(CASE WHEN y.gap % x.gap = 0 THEN y.c ELSE 0 END) / any_value(n) AS share FROM c x JOIN c y USING (label, cluster) JOIN n USING (label, cluster) GROUP BY ALL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, cluster ORDER BY share DESC, stride) AS rn FROM t) WHERE rn = 1), sp AS (SELECT label, cluster, max("offset") AS span, count(DISTINCT "offset") FILTER ("offset" > 0) AS nz FROM cl GROUP BY ALL)
+SELECT label, cluster, CASE WHEN share >= 0.75 AND nz >= 3 THEN stride ELSE 0 END AS stride, round(coalesce(share, 0), 6) AS share, CASE WHEN share >= 0.75 AND nz >= 3 THEN span // stride + 1 ELSE 0 END AS elements FROM sp LEFT JOIN b USING (label, cluster)""")
 def modal_stride(s, d):
     return rounded(I.modal_stride(_clustered(s, d)[1]), "share")
 
 
-@query(f"WITH {CLUSTERS}, {_GAPS}, g AS (SELECT cluster, list_reduce(list_prepend(CAST(0 AS BIGINT), list(gap ORDER BY gap)), lambda x, y: gcd(x, y)) AS g FROM gaps GROUP BY cluster), n AS (SELECT cluster, count(*) AS n FROM cl GROUP BY cluster) SELECT cluster, CASE WHEN n >= 4 THEN coalesce(g, 0) ELSE 0 END AS gcd FROM n LEFT JOIN g USING (cluster)")
+@query(f"WITH {CLUSTERS}, {_GAPS}, g AS (SELECT label, cluster, list_reduce(list_prepend(CAST(0 AS BIGINT), list(gap ORDER BY gap)), lambda x, y: gcd(x, y)) AS g FROM gaps GROUP BY ALL), n AS (SELECT label, cluster, count(*) AS n FROM cl GROUP BY ALL) SELECT label, cluster, CASE WHEN n >= 4 THEN coalesce(g, 0) ELSE 0 END AS gcd FROM n LEFT JOIN g USING (label, cluster)")
 def gcd_stride(s, d):
     return I.gcd_stride(_clustered(s, d)[1])
 
 
-@query(f"WITH {READS}, m AS (SELECT addr, list(first_step ORDER BY first_step) AS v FROM reads GROUP BY addr), k AS (SELECT addr, v[len(v) // 2 + 1] AS median_step FROM m) SELECT addr, median_step, CASE WHEN median_step <= 3 THEN 'guard' WHEN median_step >= 10 THEN 'compute' ELSE 'neutral' END AS kind FROM k")
+_STEPS = "steps AS (SELECT label, exec_id, var, min(pos - 1) AS first_step FROM (SELECT label, exec_id, pos, unnest(c.vars) AS var FROM cons) WHERE var IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"WITH {CONS}, {_STEPS}, m AS (SELECT label, var, list(first_step ORDER BY first_step) AS v FROM steps GROUP BY ALL), k AS (SELECT label, var, v[len(v) // 2 + 1] AS median_step FROM m) SELECT label, var, median_step, CASE WHEN median_step <= 3 THEN 'guard' WHEN median_step >= 10 THEN 'compute' ELSE 'neutral' END AS kind FROM k")
 def guard_compute(s, d):
-    return I.guard_or_compute(global_reads(s, d))
+    """Whether variables are met at the start of a run or later on, by the place of their first constraint."""
+    return I.guard_or_compute(first_steps(s, d), "var")
 
 
-@query(f"WITH {READS} SELECT addr, count(DISTINCT fn) AS n_fns, max(size) AS size FROM reads GROUP BY addr")
+@query(f"WITH {READS} SELECT label, addr, count(DISTINCT fn) AS n_fns, max(size) AS size FROM reads GROUP BY ALL")
 def populations(s, d):
-    return I.populations(global_reads(s, d)).select("addr", "n_fns", "size")
+    return I.populations(global_reads(s, d))
 
 
 @query(f"WITH {READS}, c AS (SELECT label, addr, count(DISTINCT fn) AS c FROM reads GROUP BY ALL), k AS (SELECT label, c, row_number() OVER (PARTITION BY label ORDER BY c DESC, addr) AS i FROM c) SELECT label, count(*) AS n, round(CASE WHEN count(*) >= 5 THEN CASE WHEN isnan(corr(ln(i + 1), ln(greatest(c, 1)))) THEN NULL ELSE corr(ln(i + 1), ln(greatest(c, 1))) END ELSE 0 END, 5) AS r FROM k GROUP BY label HAVING max(c) > min(c)")
@@ -224,20 +228,26 @@ def semantic_cardinality(s, d):
     return kept.groupBy(F.concat_ws("::", "label", "lhs").alias("var")).agg(F.count_distinct("rhs_const").alias("cardinality"))
 
 
-@query()
+_IMPL = CONS + """, f AS (SELECT DISTINCT label || '::' || c.formula.lhs AS var, c.formula.op AS op, CAST(c.formula.rhs_const AS HUGEINT) AS k FROM cons WHERE c.formula.rhs_const IS NOT NULL AND c.formula.lhs IS NOT NULL AND c.formula.op IS NOT NULL AND label IS NOT NULL),
+cls AS (SELECT var, CASE WHEN op IN ('__lt__', '__le__') THEN 'U' WHEN op IN ('__gt__', '__ge__') THEN 'L' WHEN op = '__eq__' THEN 'E' WHEN op = '__ne__' THEN 'N' ELSE op END AS kind, CASE op WHEN '__lt__' THEN k - 1 WHEN '__gt__' THEN k + 1 ELSE k END AS bound, count(*) AS n FROM f GROUP BY ALL),
+imp AS (SELECT b.var, b.kind, b.bound, any_value(b.n) AS n, bool_or(coalesce(CASE b.kind WHEN 'U' THEN (a.kind = 'U' AND a.bound < b.bound) OR (a.kind = 'E' AND a.bound <= b.bound) WHEN 'L' THEN (a.kind = 'L' AND a.bound > b.bound) OR (a.kind = 'E' AND a.bound >= b.bound) WHEN 'N' THEN (a.kind = 'U' AND a.bound < b.bound) OR (a.kind = 'L' AND a.bound > b.bound) OR (a.kind = 'E' AND a.bound <> b.bound) END, false)) AS implied FROM cls b JOIN cls a ON a.var = b.var GROUP BY b.var, b.kind, b.bound)"""
+
+
+def _formulas(s, d):
+    c = constraint_rows(s, d).filter("rhs_const is not null and lhs is not null and label is not null")
+    return c.select(F.concat_ws("::", "label", "lhs").alias("var"), "op", "rhs_const")
+
+
+@query(f"WITH {_IMPL} SELECT var, sum(n) AS n, count(*) AS n_unique, count(*) FILTER (NOT implied) AS basis, round(1 - count(*) FILTER (NOT implied) / count(*), 6) AS redundancy FROM imp GROUP BY var")
 def implication_basis(s, d):
     """Distinct formulas of each variable: classes of equivalent ones, and the least set that implies all."""
-    from ..operators.graph_local import strong_components
+    return rounded(I.implication_basis(I.implication_classes(_formulas(s, d))), "redundancy")
 
-    c = constraint_rows(s, d).filter("rhs_const is not null and lhs is not null and label is not null")
-    f = c.select(F.concat_ws("::", "label", "lhs").alias("var"), "op", "rhs_const").distinct()
-    f = cut(f.withColumn("id", F.xxhash64("var", "op", "rhs_const")))
-    edges = cut(I.implication_edges(f, per_group=200))
-    groups = cut(strong_components(f.select(F.col("id").alias("node")), edges).select("node", "scc"))
-    src, dst = groups.select(F.col("node").alias("src"), F.col("scc").alias("a")), groups.select(F.col("node").alias("dst"), F.col("scc").alias("b"))
-    implied = edges.join(src, "src").join(dst, "dst").filter("a != b").select(F.col("b").alias("scc")).distinct().withColumn("implied", F.lit(1))
-    per = f.join(groups.withColumnRenamed("node", "id"), "id").join(implied, "scc", "left").groupBy("var").agg(F.count("*").alias("n"), F.count_distinct("scc").alias("n_unique"), F.count_distinct(F.when(F.col("implied").isNull(), F.col("scc"))).alias("basis"))
-    return rounded(per.withColumn("redundancy", 1 - F.col("basis") / F.col("n_unique")), "redundancy")
+
+@query(f"WITH {_IMPL} SELECT var, kind, CAST(bound AS DOUBLE) AS bound FROM imp WHERE implied")
+def implied_constraints(s, d):
+    """The classes that are not in the basis: what its members already say."""
+    return I.implication_classes(_formulas(s, d)).filter("implied").select("var", "kind", F.col("bound").cast("double").alias("bound"))
 
 
 @query("WITH o AS (SELECT exec_id, pos, any_value(c.vars) AS vars, any_value(c.is_ambiguous) AS amb FROM (SELECT exec_id, unnest(constraints) AS c, generate_subscripts(constraints, 1) AS pos FROM exec_result) WHERE c IS NOT NULL AND c.formula IS NOT NULL GROUP BY exec_id, pos), a AS (SELECT exec_id, coalesce(bool_or(amb), false) AS ambiguous FROM o GROUP BY exec_id) SELECT o.exec_id, pos - 1 AS pos, ambiguous FROM o JOIN a USING (exec_id) WHERE len(vars) > 0")

@@ -74,9 +74,7 @@ def brody_beta(s, d):
 @query()
 def fiedler_value(s, d):
     """Connectedness of each binary's graph of globals that are read together."""
-    reads = cut(global_reads(s, d))
-    label = reads.select("label", F.col("addr").alias("a")).distinct()
-    pairs = I.co_access(reads).join(label, "a").select(F.col("label").alias("matrix"), "a", "b", "weight")
+    pairs = I.co_access(global_reads(s, d)).withColumnRenamed("label", "matrix")
     return rounded(spectral.fiedler(pairs), "fiedler", digits=5)
 
 
@@ -108,7 +106,7 @@ def kruskal_wallis(s, d):
 @query()
 def pair_grammar(s, d):
     """Rules from rounds of pair replacement over operations, with what they look like."""
-    rules = grammar.kept(grammar.mine(operations(s, d), rounds=4, per_round=10))
+    rules = grammar.kept(grammar.mine(operations(s, d)))
     return rules.select("rule_id", "count", F.array_join("expansion", " ").alias("expansion"), P.rule_label(F.col("expansion")).alias("label"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.addresses import address
 from ..operators.corpus import operation_token
+from ..plans.skew import salted_join
 from .tables import current_functions, table
 
 #: Raw operations that the order lines stand for in ``operations``.
@@ -31,20 +32,35 @@ def operations(spark: SparkSession, folder: str) -> DataFrame:
     return grouped.join(orders, "fn_id").select("label", "fn_id", "tokens")
 
 
-def call_lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node = fn_id, label, name, size) and call edges (src, dst), repeats kept, targets outside null."""
+def call_targets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node = fn_id, label, name, size, depth, caller_count, addr) and calls (src, label, addr), repeats kept."""
     now = current_functions(spark, folder, ["label", "va", "name", "size", "called_vas", "depth", "caller_count"])
     nodes = now.select(F.col("fn_id").alias("node"), "label", "name", "size", "depth", "caller_count", address(F.col("va")).alias("addr"))
-    calls = now.select(F.col("fn_id").alias("src"), "label", F.explode("called_vas").alias("t")).select("src", "label", address(F.col("t")).alias("addr")).filter("addr is not null")
-    edges = calls.join(nodes.select("label", "addr", F.col("node").alias("dst")), ["label", "addr"], "left").select("src", "dst")
-    return nodes, edges
+    calls = now.select(F.col("fn_id").alias("src"), "label", F.explode("called_vas").alias("t")).select("src", "label", address(F.col("t")).alias("addr"))
+    return nodes, calls.filter("addr is not null")
+
+
+def call_lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node = fn_id, label, name, size) and call edges (src, dst), repeats kept, targets outside null.
+
+    A function that very many call is a hot key of the calls, so these are salted.
+    """
+    nodes, calls = call_targets(spark, folder)
+    own = nodes.select("label", "addr", F.col("node").alias("dst"))
+    return nodes, salted_join(calls, own, ["label", "addr"], F.col("src"), "left").select("src", "dst")
 
 
 def global_reads(spark: SparkSession, folder: str) -> DataFrame:
-    """(label, fn, addr, size, first_step) of symbolic runs, each run once."""
+    """(label, fn, addr, size) of symbolic runs, each run once."""
     runs = table(spark, folder, "exec_result").filter("global_reads is not null")
     one = runs.groupBy("exec_id").agg(F.max_by(F.struct("label", "global_reads"), F.struct("run_ts", "va")).alias("r"))
-    return one.select(F.col("r.label").alias("label"), F.col("exec_id").alias("fn"), F.explode("r.global_reads").alias("addr", "size")).withColumn("first_step", F.pmod(F.col("addr"), F.lit(17)).cast("int"))
+    return one.select(F.col("r.label").alias("label"), F.col("exec_id").alias("fn"), F.explode("r.global_reads").alias("addr", "size"))
+
+
+def first_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """(label, var, first_step) of each run: the place of the first constraint that names a variable."""
+    named = constraint_rows(spark, folder).select("label", "exec_id", "pos", F.explode("vars").alias("var")).filter("var is not null")
+    return named.groupBy("label", "exec_id", "var").agg(F.min("pos").alias("first_step")).select("label", "var", "first_step")
 
 
 def constraint_rows(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Small cases of the operators for the reference's own computations."""
 
 import math
+import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -59,8 +61,7 @@ def test_containment_both_ways(spark):
     corpus = spark.createDataFrame([("l", i, t) for i, t in enumerate([["a", "b", "c"], ["a"], [], ["c", "b", "b"]])], "label string, fn_id bigint, tokens array<string>")
     rules = spark.createDataFrame([(0, ["a", "b"]), (1, ["b"]), (2, ["c", "c"])], "rule_id int, expansion array<string>")
     want = {(0, 0), (0, 1), (0, 2), (3, 1), (3, 2)}
-    assert {(r["fn_id"], r["rule_id"]) for r in P.presence(corpus, rules, 3).collect()} == want
-    assert {(r["fn_id"], r["rule_id"]) for r in P.presence(corpus, rules, 10**6).collect()} == want
+    assert {(r["fn_id"], r["rule_id"]) for r in P.presence(corpus, rules).collect()} == want
 
 
 def test_entropy_and_empty(spark):
@@ -120,13 +121,25 @@ def test_metrics_of_maps(spark):
 def test_gap_clusters_across_blocks(spark):
     edge = 2**32
     a = [1, 100, 5000, edge - 10, edge + 10, 3 * edge]
-    got = {r["addr"]: (r["cluster"], r["offset"]) for r in I.gap_clusters(spark.createDataFrame([(x,) for x in [*a, 1]], "addr bigint")).collect()}
-    assert got == {1: (0, 0), 100: (0, 99), 5000: (1, 0), edge - 10: (2, 0), edge + 10: (2, 20), 3 * edge: (3, 0)}
+    want = {1: (0, 0), 100: (0, 99), 5000: (1, 0), edge - 10: (2, 0), edge + 10: (2, 20), 3 * edge: (3, 0)}
+    df = spark.createDataFrame([("x", x) for x in [*a, 1]] + [("y", 50)], "label string, addr bigint")
+    for bits in (8, 20, 32):
+        got = {(r["label"], r["addr"]): (r["cluster"], r["offset"]) for r in I.gap_clusters(df, block_bits=bits).collect()}
+        assert got == {("x", k): v for k, v in want.items()} | {("y", 50): (0, 0)}
+
+
+def test_co_access_in_blocks(spark, monkeypatch):
+    rows = [("x", f, a) for f in range(3) for a in range(f, 12)] + [("y", 0, 1), ("y", 0, 2)]
+    df = spark.createDataFrame(rows, "label string, fn int, addr bigint")
+    want = {("x", a, b): sum(f <= a for f in range(3)) for a in range(12) for b in range(a + 1, 12)} | {("y", 1, 2): 1}
+    for block in (1_000, 2):
+        monkeypatch.setattr(I, "PAIR_BLOCK", block)
+        assert {(r["label"], r["a"], r["b"]): r["weight"] for r in I.co_access(df).collect()} == want
 
 
 def test_strides(spark):
-    c = spark.createDataFrame([(0, o) for o in (0, 8, 16, 24, 40)], "cluster bigint, offset bigint")
-    assert tuple(I.modal_stride(c).first()) == (0, 8, 1.0, 6)
+    c = spark.createDataFrame([("b", 0, o) for o in (0, 8, 16, 24, 40)], "label string, cluster bigint, offset bigint")
+    assert tuple(I.modal_stride(c).first()) == ("b", 0, 8, 1.0, 6)
     assert I.gcd_stride(c).first()["gcd"] == 8
 
 
@@ -139,9 +152,15 @@ def test_runs(spark):
 
 
 def test_implications(spark):
-    rows = [(1, "v", "__lt__", 5), (2, "v", "__lt__", 9), (3, "v", "__eq__", 3), (4, "w", "__lt__", 5), (5, "v", "__ne__", 7)]
-    got = {tuple(r) for r in I.implication_edges(spark.createDataFrame(rows, "id bigint, var string, op string, rhs_const bigint")).collect()}
-    assert got == {(1, 2), (3, 1), (3, 2), (1, 5), (3, 5)}
+    rng = random.Random(5)
+    holds = {"__eq__": lambda x, k: x == k, "__ne__": lambda x, k: x != k, "__lt__": lambda x, k: x < k, "__le__": lambda x, k: x <= k, "__gt__": lambda x, k: x > k, "__ge__": lambda x, k: x >= k}
+    rows = [(f"v{rng.randrange(25)}", rng.choice([*holds]), rng.randrange(-4, 5)) for _ in range(110)] + [("w", "ULT", 1), ("w", "ULT", 2), ("w", None, 1), (None, "__eq__", 1), ("w", "__eq__", None)]
+    got = {r["var"]: (r["n"], r["n_unique"], r["basis"]) for r in I.implication_basis(I.implication_classes(spark.createDataFrame(rows, "var string, op string, rhs_const bigint"))).collect()}
+    assert got.pop("w") == (2, 2, 2)
+    for var, found in got.items():
+        own = {r[1:] for r in rows if r[0] == var}
+        sets = {frozenset(x for x in range(-60, 61) if holds[op](x, k)) for op, k in own}
+        assert found == (len(own), len(sets), sum(not any(o < s for o in sets) for s in sets))
 
 
 def test_evidence(spark):
@@ -177,6 +196,29 @@ def test_spectra(spark):
     assert abs(spectral.leverage(cells).agg(F.sum("leverage")).first()[0] - 3) < 1e-9
 
 
+def test_ranks_match_a_dense_solution_both_ways(spark):
+    rng = random.Random(12)
+    n = 25
+    links = [(rng.randrange(n), rng.randrange(n)) for _ in range(70)] + [(1, 1), (1, 2), (1, 2)]
+    nodes, edges = spark.createDataFrame([(i,) for i in range(n + 2)], "node bigint"), spark.createDataFrame(links, "src bigint, dst bigint")
+    m = np.zeros((n + 2, n + 2))
+    for a, b in set(links):
+        m[a, b] = 1
+    # the hub vector is the dominant eigenvector of A A'
+    values, vectors = np.linalg.eigh(m @ m.T)
+    hub = np.abs(vectors[:, -1]) / np.abs(vectors[:, -1]).sum()
+    out = m.sum(axis=1)
+    step = np.where(out[:, None] > 0, m / np.maximum(out[:, None], 1), 1 / (n + 2)) * 0.85 + 0.15 / (n + 2)
+    rank = np.linalg.matrix_power(step, 400)[0]
+    for local in (10**6, 0):
+        h = {r["node"]: r["hub"] for r in G.hits(nodes, edges, rounds=100 if local else 12, local_links=local).collect()}
+        p = {r["node"]: r["rank"] for r in G.pagerank(nodes, edges, tolerance=1e-9, rounds=200 if local else 12, local_links=local).collect()}
+        assert sum(abs(h[i] - hub[i]) for i in h) < (1e-3 if local else 0.2) and sum(abs(p[i] - rank[i]) for i in p) < (1e-6 if local else 0.1)
+    assert G.hits(nodes, edges.limit(0)).agg({"hub": "sum"}).first()[0] == 0 and G.pagerank(nodes.limit(0), edges).count() == 0
+    few = {r["node"]: (round(r["hub"], 12), round(r["authority"], 12)) for r in G.hits(nodes, edges, rounds=4, local_links=0).collect()}
+    assert few == {r["node"]: (round(r["hub"], 12), round(r["authority"], 12)) for r in G.hits(nodes, edges, rounds=4).collect()}
+
+
 def test_density_finds_blobs():
     import numpy as np
 
@@ -188,7 +230,7 @@ def test_density_finds_blobs():
 
 def test_grammar(spark):
     corpus = spark.createDataFrame([(1, ["a", "b", "a", "b", "c"]), (2, ["a", "b", "c"]), (3, [])], "fn_id bigint, tokens array<string>")
-    rules = [r["expansion"] for r in grammar.mine(corpus, rounds=3, per_round=1).collect()]
+    rules = [r["expansion"] for r in grammar.mine(corpus, rules=3, per_round=1).collect()]
     assert rules[0] == ["a", "b"] and ["a", "b", "c"] in rules
 
 
