@@ -243,12 +243,14 @@ def text_ratios(s, d):
     return now.select("fn_id", *[c.alias(n) for n, c in X.ratios(F.col("pseudocode"), F.col("size")).items()])
 
 
-_CONST = f"""hx AS (SELECT fn_id, unnest(regexp_extract_all({_T}, '0x([0-9a-fA-F]{{1,15}})', 1)) AS h FROM now WHERE length(pseudocode) >= 20),
-dc AS (SELECT fn_id, unnest(regexp_extract_all(regexp_replace({_T}, '[0-9]+', ' \\0 ', 'g'), '(?:^|[^0-9A-Za-z_.] )([1-9][0-9]{{3,17}})(?: [^0-9A-Za-z_]|$)', 1)) AS h FROM now WHERE length(pseudocode) >= 20),
-cv AS (SELECT fn_id, CAST('0x' || h AS BIGINT) AS v FROM hx UNION ALL SELECT fn_id, CAST(h AS BIGINT) FROM dc), kept AS (SELECT * FROM cv WHERE v NOT IN (0, 1, 2, 3, 4, 8, 15, 255, 65535, 4294967295))"""
+_CONST = f"""hx AS (SELECT fn_id, h FROM (SELECT fn_id, unnest(regexp_extract_all({_T}, '0x([0-9a-fA-F]+)', 1)) AS h FROM now WHERE length(pseudocode) >= 20) WHERE length(h) <= 15),
+dc AS (SELECT fn_id, regexp_extract(w, '^([1-9][0-9]{{3,17}})(\\.|$)', 1) AS h FROM (SELECT fn_id, unnest(regexp_extract_all({_T}, '[0-9A-Za-z_.]+')) AS w FROM now WHERE length(pseudocode) >= 20)),
+cv AS (SELECT fn_id, CAST('0x' || h AS BIGINT) AS v FROM hx UNION ALL SELECT fn_id, CAST(h AS BIGINT) FROM dc WHERE h <> ''), kept AS (SELECT fn_id, v, count(*) AS c FROM cv WHERE v NOT IN (0, 1, 2, 3, 4, 8, 15, 255, 65535, 4294967295) GROUP BY ALL),
+tot AS (SELECT fn_id, sum(c) AS t FROM kept GROUP BY fn_id), low AS (SELECT fn_id, sum(c) AS n, sum(c * CAST(v AS DOUBLE)) / sum(c) AS m, sum(c * CAST(v AS DOUBLE) * v) / sum(c) AS m2 FROM kept WHERE v < 16384 GROUP BY fn_id),
+prof AS (SELECT fn_id, sum(c) AS n, count(*) AS n_unique, coalesce(sum(c) FILTER (v < 8192), 0) AS small, coalesce(sum(c) FILTER (v >= 8192 AND v < 65536), 0) AS medium, coalesce(sum(c) FILTER (v >= 65536 AND v < 67108864), 0) AS large, coalesce(sum(c) FILTER (v >= 67108864), 0) AS hw, sum(-(c / t) * log2(c / t)) AS entropy FROM kept JOIN tot USING (fn_id) GROUP BY fn_id)"""
 
 
-@query()
+@query(f"WITH {NOW}, {_CONST} SELECT now.fn_id, coalesce(prof.n, 0) AS n, coalesce(n_unique, 0) AS n_unique, coalesce(small, 0) AS small, coalesce(medium, 0) AS medium, coalesce(large, 0) AS large, coalesce(hw, 0) AS hw, round(coalesce(entropy, 0), 6) AS entropy, round(CASE WHEN low.n >= 3 THEN 1 / (1 + sqrt(greatest(m2 - m * m, 0)) / m) ELSE 0 END, 6) AS struct_cluster FROM now LEFT JOIN prof USING (fn_id) LEFT JOIN low USING (fn_id)")
 def const_profile(s, d):
     """Constants of each body by range, with entropy and closeness of the small ones."""
     now = current_functions(s, d, ["pseudocode"])

@@ -191,7 +191,15 @@ def bfs_distance(s, d):
     return L.walks(nodes.withColumn("seed", F.col("depth") == 0), edges, "seed")
 
 
-@query()
+_WAYS = GRAPH + """, way(a, b) AS (SELECT src, dst FROM de UNION SELECT way.a, de.dst FROM way JOIN de ON de.src = way.b),
+grp AS (SELECT n.node, least(n.node, coalesce(min(x.b), n.node)) AS scc FROM nodes n LEFT JOIN (SELECT p.a, p.b FROM way p JOIN way q ON p.a = q.b AND p.b = q.a) x ON x.a = n.node GROUP BY n.node),
+ge AS (SELECT DISTINCT p.scc AS a, q.scc AS b FROM de JOIN grp p ON p.node = de.src JOIN grp q ON q.node = de.dst WHERE p.scc <> q.scc),
+far(scc, d) AS (SELECT DISTINCT scc, 0 FROM grp UNION SELECT ge.b, d + 1 FROM far JOIN ge ON ge.a = far.scc), deep AS (SELECT scc, max(d) AS rank FROM far GROUP BY scc)"""
+_TIED = GRAPH + """, eachway AS (SELECT src, dst FROM de UNION SELECT dst, src FROM de), tied(a, b) AS (SELECT node, node FROM nodes UNION SELECT tied.a, eachway.dst FROM tied JOIN eachway ON eachway.src = tied.b),
+wc AS (SELECT a AS node, min(b) AS comp FROM tied GROUP BY a), sized AS (SELECT comp, count(*) AS n FROM wc GROUP BY comp), ranked AS (SELECT comp, n, row_number() OVER (ORDER BY n DESC, comp) - 1 AS component_id FROM sized)"""
+
+
+@query(f"WITH RECURSIVE {_TIED} SELECT node, comp, component_id, n FROM wc JOIN ranked USING (comp)")
 def wcc(s, d):
     """Weakly connected components by size."""
     nodes, edges = _inner(s, d)
@@ -204,13 +212,13 @@ def kcore(s, d):
     return L.cores(nodes, edges)
 
 
-@query()
+@query(f"WITH RECURSIVE {_WAYS} SELECT node, scc FROM grp")
 def scc(s, d):
     """Strongly connected groups."""
     return L.strong_components(*_inner(s, d)).select("node", "scc")
 
 
-@query()
+@query(f"WITH RECURSIVE {_WAYS}, n AS (SELECT scc, count(*) AS n FROM grp GROUP BY scc) SELECT CASE WHEN n = 1 THEN '1' WHEN n = 2 THEN '2' WHEN n <= 5 THEN '3-5' WHEN n <= 20 THEN '6-20' ELSE '21+' END AS bucket, count(*) AS groups FROM n GROUP BY ALL")
 def scc_histogram(s, d):
     """Groups by size: 1, 2, 3 to 5, 6 to 20, more."""
     sizes = L.strong_components(*_inner(s, d)).groupBy("scc").agg(F.count("*").alias("n"))
@@ -218,7 +226,7 @@ def scc_histogram(s, d):
     return sizes.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("groups"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_WAYS} SELECT rank, count(*) AS groups FROM deep GROUP BY rank")
 def dag_depth(s, d):
     """Longest ways in the graph of strongly connected groups: how many groups have each rank."""
     return L.strong_components(*_inner(s, d)).select("scc", "rank").distinct().groupBy("rank").agg(F.count("*").alias("groups"))

@@ -100,13 +100,8 @@ def behaviour_class(s, d):
 
 @query()
 def vector_match(s, d):
-    """Reference functions recovered from their own inputs and outputs: each finds itself with score 1."""
-    io = None
-    x = s.range(0, 512).withColumn("x", F.col("id") * 2654435761 % 1000003)
-    for name, f in M.REFERENCE_FUNCTIONS.items():
-        part = x.select(F.lit(name).alias("func"), "x", f(F.col("x")).alias("fx"))
-        io = part if io is None else io.unionByName(part)
-    return rounded(M.best_match(M.reference_matches(io), list(M.REFERENCE_FUNCTIONS)), "score")
+    """The reference function that each probed function's inputs and outputs fit best, from 0.7 on."""
+    return rounded(M.best_match(M.reference_matches(io_map(s, d)), list(M.REFERENCE_FUNCTIONS)), "score")
 
 
 @query(f"WITH {IO} SELECT a.func, a.x, a.fx FROM (SELECT *, lag(fx) OVER w AS p, lead(fx) OVER w AS n FROM io WINDOW w AS (PARTITION BY func ORDER BY x)) a WHERE p <> fx OR n <> fx")
@@ -114,7 +109,8 @@ def transitions(s, d):
     return M.transitions(io_map(s, d))
 
 
-@query()
+@query(f"""WITH {IO}, a AS (SELECT func, x, fx, row_number() OVER (PARTITION BY func, fx ORDER BY abs(CAST(x AS HUGEINT)), x) = 1 AS f, coalesce(lag(fx) OVER w <> fx, false) OR coalesce(lead(fx) OVER w <> fx, false) AS e, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY func) AS n FROM io WINDOW w AS (PARTITION BY func ORDER BY x)),
+p AS (SELECT *, CASE WHEN f THEN 0 WHEN e THEN 1 WHEN i % greatest(n // 16, 1) = 0 THEN 2 ELSE 3 END AS p FROM a), k AS (SELECT *, row_number() OVER (PARTITION BY func ORDER BY p, abs(CAST(x AS HUGEINT)), x) AS k FROM p WHERE p < 3) SELECT func, x, fx FROM k WHERE k <= 16""")
 def discriminating_inputs(s, d):
     """At most sixteen inputs of each function that tell its outputs apart."""
     return M.discriminating(io_map(s, d))
@@ -302,10 +298,11 @@ def field_map(s, d):
     return m.select("struct_name", F.size("fields").alias("n_fields"), F.array_min(F.map_values("fields")).alias("first_name"))
 
 
-@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS \"offset\", min(event_type) AS name FROM events WHERE user_id < 20 GROUP BY 1 HAVING count(DISTINCT event_type) = 1")
+@query(f"WITH {CONS} SELECT c.addr AS \"offset\", min(c.formula.lhs) AS name FROM cons WHERE c.addr IS NOT NULL GROUP BY 1 HAVING count(DISTINCT c.formula.lhs) = 1")
 def unambiguous_fields(s, d):
-    e = table(s, d, "events").filter("user_id < 20").select(F.get_json_object("props", "$.k").cast("bigint").alias("offset"), F.col("event_type").alias("name"))
-    return E.unambiguous(e)
+    """Places that all constraints call by one name."""
+    c = constraint_rows(s, d).filter("addr is not null")
+    return E.unambiguous(c.select(F.col("addr").alias("offset"), F.col("lhs").alias("name")))
 
 
 @query("SELECT cls_id, primary_algo IS NOT NULL AS matched, confidence FROM (SELECT *, row_number() OVER (PARTITION BY cls_id ORDER BY classified_ts DESC) AS rn FROM classify_result) WHERE rn = 1 AND confidence >= 0.65")

@@ -106,3 +106,28 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p1_schema": p1_schema, "p2_found": p2_found, "p2_paths": p2_paths, "p4_found": p4_found, "p4_report": p4_report}
+
+_NUMBER = r"TRY_CAST('0x' || regexp_extract({0}, '^\s*(?:0[xX])?0*([0-9a-fA-F]{{1,15}})\s*$', 1) AS BIGINT)"
+_NOW = "now AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY fn_id ORDER BY dump_ts DESC) AS rn FROM calltree) WHERE rn = 1)"
+# all ways between functions, and from them the groups, roots and depths
+_TREES = f"""{_NOW}, nodes AS (SELECT label, fn_id AS id, {_NUMBER.format("va")} AS k FROM now WHERE label IS NOT NULL AND {_NUMBER.format("va")} IS NOT NULL),
+calls AS (SELECT DISTINCT label, fn_id AS src, {_NUMBER.format("t")} AS v FROM (SELECT label, fn_id, va, unnest(called_vas) AS t FROM now) WHERE {_NUMBER.format("va")} IS NOT NULL),
+e AS (SELECT DISTINCT c.src, n.id AS dst FROM calls c JOIN nodes n ON n.label = c.label AND n.k = c.v),
+way(a, b) AS (SELECT src, dst FROM e UNION SELECT way.a, e.dst FROM way JOIN e ON e.src = way.b),
+member AS (SELECT n.label, n.id, n.k, coalesce(min(m.k), n.k) AS head FROM nodes n LEFT JOIN (SELECT x.a, x.b FROM way x JOIN way y ON x.a = y.b AND x.b = y.a) g ON g.a = n.id LEFT JOIN nodes m ON m.id = g.b GROUP BY n.label, n.id, n.k),
+head AS (SELECT label, id, k, least(head, k) AS head FROM member),
+called AS (SELECT DISTINCT y.label, y.head FROM e JOIN head x ON x.id = e.src JOIN head y ON y.id = e.dst WHERE x.head <> y.head),
+root AS (SELECT h.label, h.id, h.k FROM head h WHERE h.k = h.head AND NOT EXISTS (SELECT 1 FROM called c WHERE c.label = h.label AND c.head = h.head)),
+down(root, id, d) AS (SELECT id, id, 0 FROM root UNION SELECT down.root, e.dst, d + 1 FROM down JOIN e ON e.src = down.id WHERE d < 150),
+depth AS (SELECT root, id, min(d) AS d FROM down GROUP BY ALL)"""
+_LOOSE = f"""refs AS (SELECT DISTINCT 'calltree' AS ref_table, label, printf('0x%x', k) AS ref_key, {_NUMBER.format("t")} AS target, period FROM (SELECT label, {_NUMBER.format("va")} AS k, CAST(dump_ts AS DATE) AS period, unnest(called_vas) AS t FROM calltree)
+UNION SELECT 'exec_result', label, CAST(exec_id AS VARCHAR), {_NUMBER.format("va")}, CAST(run_ts AS DATE) FROM exec_result),
+first AS (SELECT label, {_NUMBER.format("va")} AS target, min(CAST(dump_ts AS DATE)) AS day FROM calltree GROUP BY ALL), gone AS (SELECT label, {_NUMBER.format("va")} AS target, min(CAST(retired_ts AS DATE)) AS day FROM retired_function GROUP BY ALL),
+state AS (SELECT r.*, CASE WHEN g.day <= r.period THEN 'deleted' WHEN f.target IS NULL THEN 'missing' WHEN f.day > r.period THEN 'late' END AS state FROM refs r LEFT JOIN first f USING (label, target) LEFT JOIN gone g USING (label, target) WHERE r.target IS NOT NULL AND r.label IS NOT NULL),
+loose AS (SELECT ref_table, label, ref_key, printf('0x%x', target) AS target_va, strftime(period, '%Y-%m-%d') AS period, state FROM state WHERE state IS NOT NULL)"""
+
+SQL = {
+    "p2_found": f"WITH RECURSIVE {_TREES} SELECT n.label, printf('0x%x', n.k) AS va, printf('0x%x', r.k) AS root_va, d AS depth, CAST(EXISTS (SELECT 1 FROM way WHERE way.a = n.id AND way.b = n.id) AS INT) AS on_cycle FROM depth JOIN nodes n USING (id) JOIN root r ON r.id = depth.root",
+    "p4_found": f"WITH {_LOOSE} SELECT * FROM loose",
+    "p4_report": f"WITH {_LOOSE} SELECT ref_table, period, state, count(*) AS n_references, count(DISTINCT (label, target_va)) AS n_targets, count(DISTINCT (label, ref_key)) AS n_keys FROM loose GROUP BY ALL",
+}
