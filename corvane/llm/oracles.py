@@ -21,7 +21,13 @@ totals AS (SELECT 'name' AS field_name, count(*) AS total FROM now UNION ALL SEL
 counted AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT record) AS records FROM tokens GROUP BY ALL),
 marks AS (SELECT c.*, total, CASE WHEN records <= 2 THEN 'rare' WHEN records > total * 0.1 THEN 'common' END AS mark FROM counted c JOIN totals USING (field_name))"""
 
+_BODIES = r"""
+now AS (SELECT fn_id, pseudocode FROM (SELECT fn_id, pseudocode, row_number() OVER (PARTITION BY fn_id ORDER BY dump_ts DESC) AS rn FROM calltree) WHERE rn = 1 AND pseudocode IS NOT NULL),
+w AS (SELECT fn_id, regexp_extract_all(pseudocode, '[A-Za-z0-9_]+') AS t FROM now), g AS (SELECT DISTINCT fn_id, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS g FROM w, unnest(range(1, len(t) - 1)) AS u(i) WHERE len(t) >= 20),
+n AS (SELECT fn_id, count(*) AS n FROM g GROUP BY fn_id), o AS (SELECT a.fn_id AS a, b.fn_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.fn_id < b.fn_id GROUP BY ALL)"""
+
 SQL = {
+    "p5_found": f"WITH {_BODIES} SELECT a AS fn_id_a, b AS fn_id_b FROM o JOIN n x ON x.fn_id = a JOIN n y ON y.fn_id = b WHERE o * 5 >= 3 * (x.n + y.n - o)",
     "p3_counts": f"WITH {_REAL} SELECT metric, label, func_id, day, value, count(*) AS n FROM one GROUP BY ALL",
     "p3_percentiles": f"""WITH {_REAL},
 ranked AS (SELECT metric, label, func_id, value, row_number() OVER (PARTITION BY metric, label, func_id ORDER BY value) AS r, count(*) OVER (PARTITION BY metric, label, func_id) AS n FROM one)
