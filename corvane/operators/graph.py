@@ -341,6 +341,48 @@ def caller_diversity(nodes: DataFrame, edges: DataFrame, group: str) -> DataFram
     return nodes.select("node").distinct().join(h, "node", "left").select("node", F.coalesce("n_callers", F.lit(0)).alias("n_callers"), F.coalesce("diversity", F.lit(0.0)).alias("diversity"))
 
 
+def noise(functions: DataFrame, distances: DataFrame) -> DataFrame:
+    """(node, unreachable, common_only) of functions (fn_id, label, named_callees) and distances (node, dist) from seeds.
+
+    A function calls common names only if it names others than FUN_ ones and all of these are
+    so widely used in its binary that their IDF is below 0.65 of the greatest possible.
+    """
+    n = functions.groupBy("label").agg(F.count("*").alias("_n"))
+    named = functions.select("fn_id", "label", F.explode("named_callees").alias("c")).filter("c is not null")
+    k = named.groupBy("label", "c").agg(F.count("*").alias("_k"))
+    own = salted_join(named.filter(~F.col("c").startswith("FUN_")), k.join(n, "label"), ["label", "c"], F.col("fn_id"))
+    common = own.groupBy("fn_id").agg(F.bool_and(F.log2(F.col("_n") / F.col("_k")) < 0.65 * F.log2(F.greatest("_n", F.lit(2)))).alias("_lib"))
+    return distances.join(common.withColumnRenamed("fn_id", "node"), "node", "left").select("node", (F.col("dist") < 0).alias("unreachable"), F.coalesce("_lib", F.lit(False)).alias("common_only"))
+
+
+def utility(nodes: DataFrame, edges: DataFrame, component: str, kind: str, n_callers: str) -> DataFrame:
+    """(node, utility): how much a function serves all others; 0 without callers.
+
+    0.30 for the number of callers (full from a twentieth of all functions on), 0.40 for
+    ordinary callees (a half without any), 0.30 for the greater of two diversities of its
+    callers, by component and by kind, as shares of the greatest possible entropy.  Rare
+    callees hold it at 0.30.  Repeated calls count.
+    """
+    total, k_comp, k_kind = nodes.agg(F.count("*"), F.count_distinct(component), F.count_distinct(kind)).first()
+    n = max(total, 1)
+
+    def diversity(group: str) -> DataFrame:
+        who = edges.join(nodes.select(F.col("node").alias("src"), F.col(group).alias("g")), "src").groupBy(F.col("dst").alias("node"), "g").agg(F.count("*").alias("c"))
+        t = who.groupBy("node").agg(F.sum("c").alias("t"))
+        return who.join(t, "node").groupBy("node").agg(entropy_of(F.col("c") / F.col("t")).alias("h"))
+
+    from math import log2
+
+    by_comp, by_kind = diversity(component).withColumnRenamed("h", "_hc"), diversity(kind).withColumnRenamed("h", "_hk")
+    refs = edges.groupBy("dst").agg(F.count("*").alias("c")).select("dst", F.log2(F.lit(n) / F.col("c")).alias("idf"))
+    mean = salted_join(edges, refs, ["dst"], F.col("src")).groupBy(F.col("src").alias("node")).agg(F.avg("idf").alias("_m"))
+    x = nodes.select("node", F.coalesce(n_callers, F.lit(0)).alias("_in")).join(by_comp, "node", "left").join(by_kind, "node", "left").join(mean, "node", "left")
+    top = log2(max(n, 2))
+    spread = F.greatest(F.coalesce("_hk", F.lit(0.0)) / log2(max(k_kind, 2)), F.coalesce("_hc", F.lit(0.0)) / log2(max(k_comp, 2)))
+    raw = 0.30 * F.least(F.col("_in") / max(n * 0.05, 1), F.lit(1.0)) + 0.40 * F.when(F.col("_m").isNull(), 0.5).otherwise(1 - F.col("_m") / top) + 0.30 * spread
+    return x.select("node", F.when(F.col("_in") == 0, 0.0).when(F.col("_m") > top * 0.60, F.least(raw, F.lit(0.30))).otherwise(raw).alias("utility"))
+
+
 def component_summary(nodes: DataFrame, edges: DataFrame, comps: DataFrame, cores: DataFrame, hub: str) -> DataFrame:
     """(comp, n, n_edges, density, max_k, avg_degree, top_hub, role) of each component; ``hub`` orders the nodes."""
     u = undirected(edges).join(comps.select(F.col("node").alias("a"), "comp"), "a").groupBy("comp").agg(F.count("*").alias("n_edges"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import add64, entropy_of, ladder, low32, mul64, shifted_xor
+from ..functions.exprs import add64, entropy_of, ladder, let, low32, mul64, shifted_xor
 
 
 def first_writes(probes: DataFrame) -> DataFrame:
@@ -182,28 +182,59 @@ def _xorshift32(x: Column) -> Column:
     return x
 
 
-def _bytes(x: Column, n: int) -> list[Column]:
-    return [F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255).cast("bigint")) for i in range(n)]
+def _lcg(x: Column) -> Column:
+    return low32(add64(mul64(x, 1103515245), F.lit(12345).cast("bigint")))
 
 
-def _fnv(x: Column, offset: int, prime: int, width: int) -> Column:
-    h = F.lit(offset - 2**64 if offset >= 2**63 else offset).cast("bigint")
-    for b in _bytes(x, width // 8):
-        h = mul64(h.bitwiseXOR(b), prime)
-        h = low32(h) if width == 32 else h
-    return h
+def _crc(x: Column, polynomial: int) -> Column:
+    """The state after a byte of 0: eight steps of the reflected polynomial over its last byte."""
+    rest = low32(F.shiftrightunsigned(x, 8))
+    c = x.bitwiseAND(F.lit(255).cast("bigint"))
+    for _ in range(8):
+        c = let(c, lambda v: F.when(v.bitwiseAND(F.lit(1).cast("bigint")) == 1, F.shiftrightunsigned(v, 1).bitwiseXOR(F.lit(polynomial).cast("bigint"))).otherwise(F.shiftrightunsigned(v, 1)))
+    return c.bitwiseXOR(rest)
 
 
-def _lcg(x: Column) -> Column:
-    return add64(mul64(x, 1103515245), F.lit(12345).cast("bigint")).bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint"))
+def _adler(x: Column) -> Column:
+    a = x.bitwiseAND(F.lit(0xFFFF).cast("bigint")) % 65521
+    b = F.shiftrightunsigned(x, 16).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
+    return F.shiftleft((b + a) % 65521, 16).bitwiseOR(a)
+
 
+def _pcg(x: Column) -> Column:
+    """The output permutation: 32 bits, turned right by the five upper bits of the state."""
+    word, turn = low32(F.shiftrightunsigned(shifted_xor(x, right=18), 27)), F.shiftrightunsigned(x, 59).cast("int")
+    return let(F.struct(word.alias("w"), turn.alias("t")), lambda s: low32(F.call_function("shiftrightunsigned", s["w"], s["t"]).bitwiseOR(F.call_function("shiftleft", s["w"], 32 - s["t"]))))
 
+
+# The registry's functions and their kinds, in its order. Functions of a state and a byte take the byte 0.
 REFERENCE_FUNCTIONS = {
-    "xorshift64": _xorshift64, "xorshift32": _xorshift32, "splitmix64": _splitmix, "lcg_glibc": _lcg, "murmur3_fmix32": _murmur, "xxhash32_avalanche": _xxhash,
-    "fnv1a_32": lambda x: _fnv(x, 0x811C9DC5, 0x01000193, 32), "fnv1a_64": lambda x: _fnv(x, 0xCBF29CE484222325, 0x100000001B3, 64),
+    "xorshift64": _xorshift64, "xorshift32": _xorshift32, "splitmix64": _splitmix, "pcg32_output": _pcg, "pcg32_step": _pcg, "lcg_glibc": _lcg, "murmur3_fmix32": _murmur, "xxhash32_avalanche": _xxhash,
+    "djb2_add": lambda x: mul64(x, 33), "djb2_xor": lambda x: mul64(x, 33), "fnv1a_32": lambda x: low32(mul64(x, 0x01000193)), "fnv1a_64": lambda x: mul64(x, 0x100000001B3),
+    "crc32_ieee": lambda x: _crc(x, 0xEDB88320), "crc32c": lambda x: _crc(x, 0x82F63B78), "adler32_step": _adler,
+}
+REFERENCE_KINDS = {
+    "xorshift64": "prng", "xorshift32": "prng", "splitmix64": "prng", "pcg32_output": "prng", "pcg32_step": "prng", "lcg_glibc": "prng", "murmur3_fmix32": "hash", "xxhash32_avalanche": "hash",
+    "djb2_add": "hash", "djb2_xor": "hash", "fnv1a_32": "hash", "fnv1a_64": "hash", "crc32_ieee": "checksum", "crc32c": "checksum", "adler32_step": "checksum",
 }
 
 
+def admitted(kind: str) -> Column:
+    """Whether the columns of ``metrics`` allow a reference function of this kind."""
+    c = F.col
+    return {
+        "hash": (c("avalanche") > 0.35) & (c("entropy") > 0.70) & ~c("is_constant") & (c("inc") < 0.80), "prng": (c("avalanche") > 0.35) & (c("bijectivity") > 0.70) & ~c("is_constant") & (c("entropy") > 0.60),
+        "checksum": (c("bijectivity") < 0.70) & ~c("is_constant") & (c("entropy") > 0.50), "cipher": c("deriv_const_frac") > 0.70, "arith": (c("inc") > 0.75) | (c("dec") > 0.75),
+    }.get(kind, F.lit(True))
+
+
+def filtered_matches(matches: DataFrame, measured: DataFrame) -> DataFrame:
+    """``matches`` of functions whose metrics admit the reference function's kind."""
+    kinds = F.create_map(*[F.lit(x) for p in REFERENCE_KINDS.items() for x in p])
+    flags = F.array_compact(F.array(*[F.when(admitted(k), k) for k in ("hash", "prng", "checksum", "cipher", "arith")]))
+    return matches.join(measured.select("func", flags.alias("_ok")), "func").filter(F.array_contains("_ok", kinds[F.col("vector")])).drop("_ok")
+
+
 def reference_matches(io: DataFrame, functions: dict | None = None) -> DataFrame:
     """(func, vector, score): share of inputs where a reference function gives the output; all functions in one pass."""
     functions = functions or REFERENCE_FUNCTIONS
@@ -212,6 +243,14 @@ def reference_matches(io: DataFrame, functions: dict | None = None) -> DataFrame
     return wide.select("func", F.explode(F.array(*[F.struct(F.lit(n).alias("vector"), F.col(n).alias("score")) for n in functions])).alias("m")).select("func", "m.vector", "m.score")
 
 
+def resolved_class(measured: DataFrame, best: DataFrame) -> DataFrame:
+    """(func, func_class, confidence, vector) of ``metrics``: the kind of the best match where its score is beyond the ladder's confidence, else the ladder's class."""
+    kinds = F.create_map(*[F.lit(x) for p in REFERENCE_KINDS.items() for x in p])
+    m = measured.select("func", function_class().alias("c")).join(best, "func", "left")
+    over = F.coalesce(F.col("score") > F.col("c.confidence"), F.lit(False))
+    return m.select("func", F.when(over, kinds[F.col("vector")]).otherwise(F.col("c.func_class")).alias("func_class"), F.when(over, F.col("score")).otherwise(F.col("c.confidence")).alias("confidence"), F.when(over, F.col("vector")).alias("vector"))
+
+
 def best_match(matches: DataFrame, order: list[str], least: float = 0.70) -> DataFrame:
     """(func, vector, score): the best match of each function from ``least`` on; equal scores by the order of the registry."""
     place = F.array_position(F.array(*[F.lit(n) for n in order]), F.col("vector"))

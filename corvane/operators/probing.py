@@ -101,13 +101,15 @@ def slow_timings(timings: DataFrame, by: str, value: str) -> DataFrame:
     return cum.groupBy(by).agg(F.max("n").alias("n"), at(50).alias("median"), at(95).alias("p95"), F.max(v).alias("greatest"))
 
 
-def candidate_pairs(values: DataFrame, predicate: Column, group: str) -> DataFrame:
-    """(a, b) of unequal values of one group for which the predicate over columns a and b holds.
+def candidate_pairs(values: DataFrame, group: str, partner: Column) -> DataFrame:
+    """(group, a, b) of unequal values of one group where b is the ``partner`` of a, an expression over the column value.
 
-    Pairs are formed within groups only, the bound that the search has by nature.
+    The oracle of a pair is such a relation, so pairs are looked up by hash and never formed
+    all with all; a null partner has none.
     """
-    left, right = values.select(group, F.col("value").alias("a")).distinct(), values.select(group, F.col("value").alias("b")).distinct()
-    return left.join(right, group).filter((F.col("a") != F.col("b")) & predicate)
+    v = values.select(group, "value").dropna().distinct()
+    left = v.select(group, F.col("value").alias("a"), partner.alias("b"))
+    return left.join(v.withColumnRenamed("value", "b"), [group, "b"]).filter("a != b").select(group, "a", "b")
 
 
 def status_rollup(items: DataFrame) -> DataFrame:

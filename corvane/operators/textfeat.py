@@ -34,12 +34,13 @@ def keyword_counts(text: Column) -> dict[str, Column]:
 
 def ratios(text: Column, size: Column) -> dict[str, Column]:
     """Shares of operation kinds and densities by size; text of under 10 characters has zeros."""
+    # The counting patterns, and below the thresholds of the classes.
     arith = count_of(text, r"0x[0-9a-fA-F]{4,}|>>|<<|\^|\*\s*0x|\*\s*[0-9]{4,}")
     loops, ifs, returns = count_of(text, r"\b(?:while|for)\b"), count_of(text, r"\bif\b"), count_of(text, r"\breturn\b")
     deref = count_of(text, r"\*\s*\(|\*[a-zA-Z_]|->")
     calls = count_of(text, r"\b[A-Za-z_]\w+\s*\(")
-    # a name that is assigned and not called at once is a function pointer put in place
-    pointers = count_of(text, r"=\s*(?:FUN_[0-9a-fA-F]+|[A-Z][A-Za-z0-9_]{3,})") - count_of(text, r"=\s*(?:FUN_[0-9a-fA-F]+|[A-Z][A-Za-z0-9_]{3,})\s*\(")
+    # a name that is assigned and, as far as the pattern may give characters back, not called at once
+    pointers = count_of(text, r"=\s*FUN_[0-9a-fA-F]+(?!\s*\()|=\s*[A-Z][A-Za-z0-9_]{3,}(?!\s*\()")
     total = F.greatest(arith + calls + deref + loops + ifs + returns, F.lit(1))
     sized = F.greatest(F.coalesce(size, F.lit(0)), F.lit(1))
     enough = F.coalesce(F.length(text) >= 10, F.lit(False))

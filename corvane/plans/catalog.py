@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, graph_queries, io_queries, kernel_queries, probe_queries, structure_queries
+from . import brief_queries, corpus_queries, graph_queries, io_queries, kernel_queries, probe_queries, structure_queries
 
-_MODULES = (structure_queries, corpus_queries, graph_queries, io_queries, kernel_queries, probe_queries)
+_MODULES = (structure_queries, corpus_queries, graph_queries, io_queries, kernel_queries, probe_queries, brief_queries)
 
 
 def queries() -> dict:

@@ -232,7 +232,7 @@ def keyword_counts(s, d):
 
 
 _RATIO = f"""rc AS (SELECT fn_id, size, pseudocode, {_N("0x[0-9a-fA-F]{4,}|>>|<<|\\^|\\*\\s*0x|\\*\\s*[0-9]{4,}")} AS ar, {_N("\\b(?:while|for)\\b")} AS lo, {_N("\\bif\\b")} AS i, {_N("\\breturn\\b")} AS re, {_N("\\*\\s*\\(|\\*[a-zA-Z_]|->")} AS de, {_N("\\b[A-Za-z_]\\w+\\s*\\(")} AS ca,
-{_N("=\\s*(?:FUN_[0-9a-fA-F]+|[A-Z][A-Za-z0-9_]{3,})")} - {_N("=\\s*(?:FUN_[0-9a-fA-F]+|[A-Z][A-Za-z0-9_]{3,})\\s*\\(")} AS fp FROM now),
+{_N("=\\s*[A-Z][A-Za-z0-9_]{3,}")} - {_N("=\\s*[A-Z][A-Za-z0-9_]{3}\\s*\\(")} AS fp FROM now),
 ratio AS (SELECT *, greatest(ar + ca + de + lo + i + re, 1) AS t, greatest(coalesce(size, 0), 1) AS sz, coalesce(length(pseudocode) >= 10, false) AS ok FROM rc)"""
 
 

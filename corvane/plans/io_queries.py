@@ -100,8 +100,9 @@ def behaviour_class(s, d):
 
 @query()
 def vector_match(s, d):
-    """The reference function that each probed function's inputs and outputs fit best, from 0.7 on."""
-    return rounded(M.best_match(M.reference_matches(io_map(s, d)), list(M.REFERENCE_FUNCTIONS)), "score")
+    """The reference function that each probed function's inputs and outputs fit best, and whether that is a match."""
+    best = M.best_match(M.reference_matches(io_map(s, d)), list(M.REFERENCE_FUNCTIONS), least=0.0)
+    return rounded(best, "score").withColumn("matched", F.col("score") >= 0.70)
 
 
 @query(f"WITH {IO} SELECT a.func, a.x, a.fx FROM (SELECT *, lag(fx) OVER w AS p, lead(fx) OVER w AS n FROM io WINDOW w AS (PARTITION BY func ORDER BY x)) a WHERE p <> fx OR n <> fx")

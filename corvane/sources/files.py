@@ -56,8 +56,12 @@ def swap(df: DataFrame, folder: str, name: str) -> str:
     out = fs.create(temp, True)
     out.writeBytes(version)
     out.close()
-    fs.delete(at, False)
-    fs.rename(temp, at)
+    # one step: readers find the old pointer or the new one
+    hadoop = jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    at, temp = fs.makeQualified(at), fs.makeQualified(temp)
+    hadoop.FileContext.getFileContext(at.toUri(), conf).rename(temp, at, how)
     return version
 
 

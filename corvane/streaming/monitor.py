@@ -54,6 +54,10 @@ def _advance(key: tuple, pdf: pd.DataFrame, state: tuple[int, int, int, int, str
     return (*s, digest), rows
 
 
+#: Milliseconds after which the state of a block that is no longer seen is dropped.
+FORGET_MS = 3_600_000
+
+
 def _stateful(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
@@ -62,12 +66,13 @@ def _stateful(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
     pdf = pd.concat(list(frames)).sort_values("seq")
     now, rows = _advance(key, pdf, now)
     state.update(now)
+    state.setTimeoutDuration(FORGET_MS)
     yield pd.DataFrame(rows, columns=["block", "seq", "tier", "event"])
 
 
 def monitored(stream: DataFrame) -> DataFrame:
     """Events of a stream of (block, seq, digest); blocks unseen for an hour lose their state."""
-    return stream.groupBy("block").applyInPandasWithState(_stateful, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("block").applyInPandasWithState(_stateful, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def replay(readings: DataFrame) -> DataFrame:
