@@ -31,7 +31,8 @@ def dangling_references(references: DataFrame, parents: DataFrame, retired: Data
     )
     known = cut(known)
     filter_ = bloom.build(known, on, known.count())
-    probed = bloom.probe(references.dropna(subset=on).distinct(), on, filter_, "_maybe")
+    # read three times below: the references are scanned and shuffled once
+    probed = cut(bloom.probe(references.dropna(subset=on).distinct(), on, filter_, "_maybe"))
     absent = probed.filter(~F.col("_maybe")).withColumn("state", F.lit("missing"))
     spread = F.struct(*[F.col(c) for c in references.columns if c not in on])
     checked = salted_join(probed.filter("_maybe"), known, on, spread, "left").withColumn(
