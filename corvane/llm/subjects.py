@@ -33,7 +33,9 @@ from ..plans.spread import spread
 from .mixing import source_name
 
 #: Labelled documents used to fit, rounds over the corpus, and areas at most.
-MAX_LABELLED, ROUNDS, MAX_SUBJECTS = 20_000, 5, 100
+MAX_LABELLED, ROUNDS, MAX_SUBJECTS = 20_000, 6, 100
+#: The rounds end once the areas' shares of the corpus move by less than this altogether.
+SETTLED = 0.001
 #: Statements that make an area of a document.
 STATEMENTS = 3
 #: Weight, in documents, of the even distribution that a feature's areas are drawn to, and the share that makes it tell an area.
@@ -274,25 +276,28 @@ def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame,
     labelled = cut(sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).select("doc_id", number[F.col("subject")].alias("area")))
     pairs = rows.select("doc_id", "tid")
 
-    def masses(areas: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    def base_of(areas: DataFrame) -> np.ndarray:
         base = np.ones(k)
         for r in areas.groupBy("area").agg(F.sum("share").alias("s")).collect():
             base[r["area"]] += r["s"]
+        return base / base.mean()
+
+    def masses(areas: DataFrame) -> DataFrame:
         by_type = pairs.join(areas, "doc_id").groupBy("tid", "area").agg(F.sum("share").alias("m"))
-        return held.join(by_type, "tid").groupBy("fid", "area").agg(F.sum("m").alias("m")), base / base.mean()
+        return held.join(by_type, "tid").groupBy("fid", "area").agg(F.sum("m").alias("m"))
 
     scope = F.concat_ws(". ", F.translate("subject", "_", " "), *(["scope"] if "scope" in subjects.columns else []))
     about = subjects.filter("subject is not null").select(number[F.col("subject")].alias("area"), scope.alias("text"))
     about = features(kinds(statements(about, "text")).withColumn("tid", F.col("area"))).select("fid", F.col("tid").cast("int").alias("area"), F.lit(1.0).alias("m"))
-    mass, base = masses(labelled.select("doc_id", "area", F.lit(1.0).alias("share")))
-    odds = cut(learned(mass.unionByName(about), base))
+    known = labelled.select("doc_id", "area", F.lit(1.0).alias("share"))
+    odds, base = cut(learned(masses(known).unionByName(about), base_of(known))), None
     for i in range(ROUNDS):
         post = cut(posteriors(held, odds, k))
         areas = cut(document_areas(pairs, _spread_out(post), labelled))
-        if i == ROUNDS - 1:
+        before, base = base, base_of(areas)
+        if i == ROUNDS - 1 or (before is not None and np.abs(base - before).sum() < SETTLED * k):
             break
-        mass, base = masses(areas)
-        odds_next = cut(learned(mass, base))
+        odds_next = cut(learned(masses(areas), base))
         drop(odds, post, areas)
         odds = odds_next
     # a source votes for an area that it treats at least twice as often as an even share; a source of few documents has the area of each by itself
