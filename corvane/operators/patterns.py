@@ -47,15 +47,17 @@ def presence(corpus: DataFrame, rules: DataFrame) -> DataFrame:
 
     A rule is joined to functions by the token of it that the fewest functions have; the
     others are looked up in the function's own tokens.  So a function meets few rules it
-    does not hold, and the join is hashed.
+    does not hold.  The rules are a grammar of bounded size and are what is broadcast, never
+    the functions: left to itself, Spark takes the size of a compressed file for theirs.
     """
     own = corpus.select("label", "fn_id", F.array_distinct("tokens").alias("_t"))
-    held = own.select(F.explode("_t").alias("token")).groupBy("token").agg(F.count("*").alias("_c"))
-    terms = rules.select("rule_id", F.array_distinct("expansion").alias("_terms"))
-    each = terms.select("rule_id", "_terms", F.explode("_terms").alias("token")).join(held, "token", "left")
+    each = rules.select("rule_id", F.array_distinct("expansion").alias("_terms")).withColumn("token", F.explode("_terms"))
+    named = F.broadcast(each.select("token").distinct())
+    held = own.select(F.explode("_t").alias("token")).join(named, "token").groupBy("token").agg(F.count("*").alias("_c"))
     # a token that no function has is the rarest
-    rarest = each.groupBy("rule_id", "_terms").agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), "token"))["token"].alias("_key"))
-    met = own.withColumn("_key", F.explode("_t")).join(rarest, "_key")
+    counted = each.join(F.broadcast(held), "token", "left").select("rule_id", "_terms", F.struct(F.coalesce("_c", F.lit(0)).alias("c"), "token").alias("_r"))
+    rarest = counted.groupBy("rule_id", "_terms").agg(F.min("_r")["token"].alias("_key"))
+    met = own.withColumn("_key", F.explode("_t")).join(F.broadcast(rarest), "_key")
     return met.filter(F.forall("_terms", lambda x: F.array_contains("_t", x))).select("label", "fn_id", "rule_id")
 
 

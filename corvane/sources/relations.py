@@ -21,7 +21,10 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def operations(spark: SparkSession, folder: str) -> DataFrame:
-    """(label, fn_id, tokens): operation tokens of each order, one for each of its lines."""
+    """(label, fn_id, tokens): operation tokens of each order, one for each of its lines.
+
+    Merged, so that orders of a small file but many rows are not broadcast.
+    """
     lines = table(spark, folder, "lineitem")
     name = F.element_at(F.array(*[F.lit(x) for x in RAW]), (F.pmod("l_partkey", F.lit(len(RAW))) + 1).cast("int"))
     size = F.element_at(F.array(F.lit(8), F.lit(8), F.lit(1)), (F.pmod("l_suppkey", F.lit(3)) + 1).cast("int"))
@@ -29,7 +32,7 @@ def operations(spark: SparkSession, folder: str) -> DataFrame:
     rows = lines.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", token.alias("token")).alias("r")).filter("r.token is not null")
     grouped = rows.groupBy(F.col("l_orderkey").alias("fn_id")).agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["token"]).alias("tokens"))
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("fn_id"), F.col("o_orderpriority").alias("label"))
-    return grouped.join(orders, "fn_id").select("label", "fn_id", "tokens")
+    return grouped.join(orders.hint("merge"), "fn_id").select("label", "fn_id", "tokens")
 
 
 def call_targets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
