@@ -83,12 +83,16 @@ def coverage_verdict(c: Column) -> Column:
 
 
 def lift(present: DataFrame, corpus: DataFrame, by: str) -> DataFrame:
-    """(by, rule_id, local, overall, lift): a rule's share within a group minus its share overall."""
+    """(by, rule_id, local, overall, lift): a rule's share within a group minus its share overall.
+
+    What is present is counted once, by group; the counts overall are sums of these.
+    """
     size = corpus.groupBy(by).agg(F.count("*").alias("_size"))
     whole = corpus.agg(F.count("*").alias("_all"))
-    overall = present.groupBy("rule_id").agg(F.count("*").alias("_k")).join(F.broadcast(whole)).select("rule_id", (F.col("_k") / F.col("_all")).alias("overall"))
-    local = present.groupBy(by, "rule_id").agg(F.count("*").alias("_n")).join(size, by)
-    return local.join(F.broadcast(overall), "rule_id").select(by, "rule_id", (F.col("_n") / F.col("_size")).alias("local"), "overall", (F.col("_n") / F.col("_size") - F.col("overall")).alias("lift"))
+    held = present.filter("rule_id is not null").groupBy(by, "rule_id").agg(F.count("*").alias("_n"))
+    overall = F.sum("_n").over(Window.partitionBy("rule_id")) / F.col("_all")
+    local = held.join(F.broadcast(whole)).withColumn("overall", overall).join(size, by)
+    return local.select(by, "rule_id", (F.col("_n") / F.col("_size")).alias("local"), "overall", (F.col("_n") / F.col("_size") - F.col("overall")).alias("lift"))
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:

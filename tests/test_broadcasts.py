@@ -7,22 +7,30 @@ from corvane.plans.lineage import cut
 from corvane.sources.relations import operations
 
 
-def broadcast_rows(df):
-    """Rows of the largest broadcast of a plan that has run; the plan is the one that Spark ended with."""
+def nodes(df):
+    """(kind, node) of a plan that has run, as Spark ended with it; what is reused counts once."""
 
     def walk(p):
         kind = p.getClass().getSimpleName()
+        yield kind, p
         if kind == "AdaptiveSparkPlanExec":
             yield from walk(p.executedPlan())
         elif kind.endswith("QueryStageExec"):
             yield from walk(p.plan())
-        if kind == "BroadcastExchangeExec":
-            yield p.metrics().apply("numOutputRows").value()
         children = p.children()
         for i in range(children.size()):
             yield from walk(children.apply(i))
 
-    return max(walk(df._jdf.queryExecution().executedPlan()), default=0)
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def broadcast_rows(df):
+    """Rows of the largest broadcast."""
+    return max((p.metrics().apply("numOutputRows").value() for kind, p in nodes(df) if kind == "BroadcastExchangeExec"), default=0)
+
+
+def rows_of(df):
+    return {tuple(r) for r in df.collect()}
 
 
 def functions(spark, n):
@@ -48,3 +56,24 @@ def test_operations_broadcast_no_orders(spark, tmp_path):
     ops = operations(spark, str(tmp_path))
     assert [(r["fn_id"], r["tokens"]) for r in sorted(ops.collect(), key=lambda r: r["fn_id"])] == [(i, ["COPY_8"] * 3) for i in range(300)]
     assert broadcast_rows(ops) == 0
+
+
+def test_lift_counts_what_is_present_once(spark):
+    ops, rules = functions(spark, 2000), cut(spark.createDataFrame([(0, ["A", "B"]), (1, ["A", "C"]), (2, ["D", "B"])], "rule_id int, expansion array<string>"))
+    lift = P.lift(P.presence(ops, rules), ops, "label").select("label", "rule_id", F.round("local", 6), F.round("overall", 6), F.round("lift", 6))
+    # y has the 500 whose number leaves 3 when divided by 4, so odd ones only
+    want = {("x", 0, 0.666667, 0.5, 0.166667), ("x", 1, 0.333333, 0.5, -0.166667), ("y", 1, 1.0, 0.5, 0.5), ("x", 2, 0.133333, 0.1, 0.033333)}
+    assert rows_of(lift) == want
+    assert broadcast_rows(lift) <= 8
+    present = cut(P.presence(ops, rules))
+    lift = P.lift(present, ops, "label")
+    lift.collect()
+    read = [p for kind, p in nodes(lift) if kind == "FileSourceScanExec" and "rule_id" in p.output().toString()]
+    assert len(read) == 1
+
+
+def test_lift_without_label_counts_overall(spark):
+    ops = spark.createDataFrame([("x", 1), ("x", 2), (None, 3), ("y", 4)], "label string, fn_id bigint")
+    present = spark.createDataFrame([("x", 1, 0), (None, 3, 0), (None, 3, 1), ("y", 4, 1)], "label string, fn_id bigint, rule_id int")
+    assert rows_of(P.lift(present, ops, "label")) == {("x", 0, 0.5, 0.5, 0.0), ("y", 1, 1.0, 0.5, 0.5)}
+    assert rows_of(P.lift(present.limit(0), ops, "label")) == set()
