@@ -20,6 +20,8 @@ def cluster_profile(members: DataFrame, present: DataFrame, cluster: str, binari
 
     ``size`` is the number of members, ``binary`` the labels with most of them, ``rule`` the
     rules whose share within the cluster exceeds that overall most, ``example`` the least ids.
+    Members and rules present are merged: neither is small enough to broadcast, whatever the
+    size of its file.  They meet once; the counts overall are sums of those by cluster.
     """
     text = lambda c: F.col(c).cast("string")
     n = members.groupBy(cluster).agg(F.count("*").alias("_n"))
@@ -27,9 +29,10 @@ def cluster_profile(members: DataFrame, present: DataFrame, cluster: str, binari
     by = members.groupBy(cluster, "label").agg(F.count("*").alias("value"))
     by = top_per_group(by, [cluster], [F.desc("value"), F.col("label")], binaries).select(cluster, F.lit("binary").alias("kind"), "rank", F.col("label").alias("item"), F.col("value").cast("double").alias("value"))
     total = F.broadcast(members.agg(F.count("*").alias("_all")))
-    own = present.join(members.select("fn_id", cluster), "fn_id")
-    overall = own.groupBy("rule_id").agg(F.count("*").alias("_k")).join(total).select("rule_id", (F.col("_k") / F.col("_all")).alias("_o"))
-    lift = own.groupBy(cluster, "rule_id").agg(F.count("*").alias("_c")).join(n, cluster).join(overall, "rule_id").select(cluster, "rule_id", F.round(F.col("_c") / F.col("_n") - F.col("_o"), 6).alias("value"))
+    own = present.select("fn_id", "rule_id").join(members.select("fn_id", cluster).hint("merge"), "fn_id")
+    held = own.filter("rule_id is not null").groupBy(cluster, "rule_id").agg(F.count("*").alias("_c"))
+    overall = F.sum("_c").over(Window.partitionBy("rule_id")) / F.col("_all")
+    lift = held.join(total).withColumn("_o", overall).join(n, cluster).select(cluster, "rule_id", F.round(F.col("_c") / F.col("_n") - F.col("_o"), 6).alias("value"))
     lift = top_per_group(lift, [cluster], [F.desc("value"), F.col("rule_id")], rules).select(cluster, F.lit("rule").alias("kind"), "rank", text("rule_id").alias("item"), "value")
     first = top_per_group(members, [cluster], [F.col("fn_id")], examples).select(cluster, F.lit("example").alias("kind"), "rank", text("fn_id").alias("item"), F.lit(None).cast("double").alias("value"))
     return size.unionByName(by).unionByName(lift).unionByName(first)

@@ -127,7 +127,7 @@ def cluster_profile(s, d):
     """Size, binaries, rules that stand out, and examples of each archetype."""
     ops, rules = _mined(s, d)
     members = cut(ops.select("label", "fn_id", P.archetype(F.array_join("tokens", " ")).alias("archetype")))
-    return B.cluster_profile(members, cut(P.presence(ops, rules)), "archetype")
+    return B.cluster_profile(members, P.presence(ops, rules), "archetype")
 
 
 @query(_WL + """, g AS (SELECT wl2, count(*) AS n FROM w2 GROUP BY wl2 HAVING count(*) >= 100), lab AS (SELECT node, wl2, wl0 FROM w2 JOIN w0 USING (node)),

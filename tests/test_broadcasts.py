@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corvane.operators import briefs as B
 from corvane.operators import patterns as P
 from corvane.plans.lineage import cut
 from corvane.sources.relations import operations
@@ -77,3 +78,18 @@ def test_lift_without_label_counts_overall(spark):
     present = spark.createDataFrame([("x", 1, 0), (None, 3, 0), (None, 3, 1), ("y", 4, 1)], "label string, fn_id bigint, rule_id int")
     assert rows_of(P.lift(present, ops, "label")) == {("x", 0, 0.5, 0.5, 0.0), ("y", 1, 1.0, 0.5, 0.5)}
     assert rows_of(P.lift(present.limit(0), ops, "label")) == set()
+
+
+def test_cluster_profile_broadcasts_no_members(spark):
+    ops, rules = functions(spark, 2000), cut(spark.createDataFrame([(0, ["A", "B"]), (1, ["A", "C"]), (2, ["D", "B"])], "rule_id int, expansion array<string>"))
+    cluster = F.when(F.col("fn_id") < 400, 1).when(F.col("fn_id") < 2000 - 4, 2)
+    members, present = cut(ops.select("label", "fn_id", cluster.alias("c"))), cut(P.presence(ops, rules))
+    profile = B.cluster_profile(members, present, "c")
+    got = {(r["c"], r["kind"], r["rank"]): (r["item"], r["value"]) for r in profile.collect()}
+    assert {k[2]: v for k, v in got.items() if k[:2] == (1, "rule")} == {1: ("0", 0.0), 2: ("1", 0.0), 3: ("2", 0.0)}
+    # 160 of the 1596 of the cluster 2 have the rule 2, and 200 of all; the cluster null has no lift
+    assert {k[2]: v for k, v in got.items() if k[:2] == (2, "rule")} == {1: ("2", round(160 / 1596 - 0.1, 6)), 2: ("0", 0.0), 3: ("1", 0.0)}
+    assert [got[None, "size", 1], got[None, "binary", 1], got[None, "example", 1]] == [("n", 4.0), ("x", 3.0), ("1996", None)] and (None, "rule", 1) not in got
+    assert 0 < broadcast_rows(profile) <= 8
+    read = [p for kind, p in nodes(profile) if kind == "FileSourceScanExec" and "rule_id" in p.output().toString()]
+    assert len(read) == 1
